@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality, secrets
+from . import packing, quality, secrets, token_store
 
-_MODULES = (quality, secrets)
+_MODULES = (quality, secrets, packing, token_store)
 
 
 def queries() -> dict:
