@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, quality, secrets, token_store
+from . import packing, quality, secrets, token_store, warc
 
-_MODULES = (quality, secrets, packing, token_store)
+_MODULES = (quality, secrets, packing, token_store, warc)
 
 
 def queries() -> dict:
