@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, quality, secrets, token_store, warc
+from . import langid, packing, quality, secrets, token_store, toxicity, warc
 
-_MODULES = (quality, secrets, packing, token_store, warc)
+_MODULES = (quality, secrets, packing, token_store, warc, langid, toxicity)
 
 
 def queries() -> dict:
