@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, packing, quality, secrets, token_store, toxicity, warc
+from . import decontaminate, langid, packing, quality, secrets, token_store, toxicity, warc
 
-_MODULES = (quality, secrets, packing, token_store, warc, langid, toxicity)
+_MODULES = (quality, secrets, packing, token_store, warc, langid, toxicity, decontaminate)
 
 
 def queries() -> dict:
