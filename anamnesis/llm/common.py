@@ -14,6 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows that Python turns into objects at once; bounds a worker's memory when texts are long.
 SLICE_ROWS = 128
+#: The same where a slice goes to a tokenizer, which gains from repeated words.
+ENCODED = 1024
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,14 +42,14 @@ def saved(df: DataFrame, what: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict[str, list]]) -> DataFrame:
-    """mapInArrow over slices of at most SLICE_ROWS rows: fn takes and returns a dict of column lists."""
+def arrow_map(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict[str, list]], rows: int = SLICE_ROWS) -> DataFrame:
+    """mapInArrow over slices of at most `rows` rows: fn takes and returns a dict of column lists."""
     out = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                got = fn(batch.slice(at, SLICE_ROWS).to_pydict())
+            for at in range(0, batch.num_rows, rows):
+                got = fn(batch.slice(at, rows).to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
