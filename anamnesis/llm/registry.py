@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, packing, quality, secrets, token_counts, token_store, toxicity, warc
+from . import decontaminate, langid, ngram_join, packing, quality, secrets, token_counts, token_store, toxicity, warc
 
-_MODULES = (quality, secrets, packing, token_store, warc, langid, toxicity, decontaminate, token_counts)
+_MODULES = (ngram_join, packing, warc, toxicity, secrets, token_store, langid, token_counts, quality, decontaminate)
 
 
 def queries() -> dict:
