@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SLICE_ROWS, documents, saved
-from .tokens import encoder, tokenizer_file
+from .common import documents, saved
+from .tokens import ENCODE_ROWS, encoder, tokenizer_file
 
 SEQUENCE = 2048
 OPEN_WINDOWS = 64
@@ -135,8 +135,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SEQUENCE,
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, p, enc = TaskContext.get().partitionId(), 0, Packer(size, windows, min_cut), encoder(tokenizer, end_id)
         for b in batches:
-            for i in range(0, b.num_rows, SLICE_ROWS):
-                rows = b.slice(i, SLICE_ROWS).to_pydict()
+            for i in range(0, b.num_rows, ENCODE_ROWS):
+                rows = b.slice(i, ENCODE_ROWS).to_pydict()
                 for doc, ids in zip(rows["doc_id"], enc.encode(rows["text"]), strict=True):
                     p.add(doc, ids)
                 if len(p.done) >= 128:

@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, documents, shared_dir, shuffle_parts
-from .tokens import encoder, tokenizer_file
+from .common import documents, shared_dir, shuffle_parts
+from .tokens import ENCODE_ROWS, encoder, tokenizer_file
 
 #: Ids after which a frame ends.
 FRAME_IDS = 1 << 16
@@ -133,8 +133,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, out: str | No
         part, writer, enc, n = TaskContext.get().partitionId(), None, encoder(tokenizer, end_id), 0
         uri = f"{out}/shard-{part:06d}.zst"
         for b in batches:
-            for i in range(0, b.num_rows, SLICE_ROWS):
-                rows = b.slice(i, SLICE_ROWS).to_pydict()
+            for i in range(0, b.num_rows, ENCODE_ROWS):
+                rows = b.slice(i, ENCODE_ROWS).to_pydict()
                 writer = writer or ShardWriter(uri)
                 for doc, ids in zip(rows["doc_id"], enc.encode(rows["text"]), strict=True):
                     writer.add(doc, ids)

@@ -1,10 +1,11 @@
 """Token ids of whole texts by the tokenizers library, computed once per distinct chunk.
 
-A text is cut at its spaces and the library encodes each distinct chunk once. That gives the ids of the
-whole text where the tokenizer's own pre-tokenisation never joins characters across such a space. Two
-families are known to have that property and are recognised from the tokenizer's file: byte-level
-pre-tokenisation that keeps the space before a word, and word splitting that drops white space. Texts
-with runs of white space (first family) and all other tokenizers are encoded as a whole.
+A text is cut where the tokenizer's own pre-tokenisation always cuts, and the library encodes each
+distinct chunk once. Cuts are before a space, around a single line end, and between a Latin letter and
+the marks that follow it up to a space. Two families of tokenizers are known to cut there and are
+recognised from their files: byte-level pre-tokenisation that keeps the space before a word, and word
+splitting that drops white space. Texts with longer runs of white space (first family), texts with the
+separator character and all other tokenizers are encoded as a whole.
 """
 
 from __future__ import annotations
@@ -12,17 +13,28 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct chunks that a worker remembers; beyond it the memory starts anew. It changes speed only.
-CACHE_CHUNKS = 400_000
-#: Distinct chunks given to the library at once, and characters of text worked on at once.
-_ENCODE_AT_ONCE = 20_000
-_CHARS_AT_ONCE = 1_000_000
+CACHE_CHUNKS = 800_000
+#: Rows that callers should give to encode() at once.
+ENCODE_ROWS = 1024
+#: Distinct chunks given to the library at once, chunks side by side in one text, characters worked on at once.
+_ENCODE_AT_ONCE, _SIDE_BY_SIDE, _CHARS_AT_ONCE = 20_000, 1000, 2_000_000
 _RUNS = re.compile(r"\s\s\s|\s\s\Z")
+_TWO = re.compile(r"\s\s")
+#: Stands before a chunk that has no space before it.
+_GLUE = "\x1f"
+#: Latin letters whose lower case and composition are letters.
+_LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+_MARKS = ".,;:!?#*$%&|"
+_WORD_MARKS = rf"([{_LATIN}])([{_MARKS}]+)( |\z)"
+_SPACED = re.compile(rf"[^\s{_GLUE}]\S*")
+_ONE_WORD = re.compile(f"[{_LATIN}]+|[{_MARKS}]+")
 
 
 def tokenizer_file(name: str) -> str:
@@ -56,6 +68,11 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.family, self.end = _family(path), end_id
+        vocab = self.tok.get_vocab()
+        #: By id: the token's bytes (first family), or whether it ends a word (second family).
+        self.measure = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        for token, i in vocab.items():
+            self.measure[i] = len(token) if self.family == "kept" else token.endswith("</w>")
         self._reset()
 
     def _reset(self) -> None:
@@ -63,49 +80,70 @@ class Encoder:
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.size, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
-    def _add(self, chunks: list[str]) -> None:
-        for i in range(0, len(chunks), _ENCODE_AT_ONCE):
-            part = chunks[i : i + _ENCODE_AT_ONCE]
-            ids = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for y in ids for x in y), np.uint32, int(sizes.sum()))
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            while self.n + len(part) > len(self.at):
-                self.at, self.size = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.size, np.zeros_like(self.size)])
-            self.pool[self.used : self.used + len(flat)] = flat
-            self.at[self.n : self.n + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.size[self.n : self.n + len(part)] = sizes
-            self.slot.update(zip(part, range(self.n, self.n + len(part)), strict=True))
-            self.n, self.used = self.n + len(part), self.used + len(flat)
-
-    def _slots(self, chunks: list[str]) -> np.ndarray:
-        new = [c for c in dict.fromkeys(chunks) if c not in self.slot]
-        if new:
-            self._add(new)
-        return np.fromiter(map(self.slot.__getitem__, chunks), np.int64, len(chunks))
+    def _keep(self, part: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.n + len(part) > len(self.at):
+            self.at, self.size = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.size, np.zeros_like(self.size)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.at[self.n : self.n + len(part)] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.n : self.n + len(part)] = sizes
+        self.slot.update(zip(part, range(self.n, self.n + len(part)), strict=True))
+        self.n, self.used = self.n + len(part), self.used + len(flat)
+
+    def _learn(self, chunks: list[str]) -> None:
+        kept = self.family == "kept"
+        plain = (_SPACED if kept else _ONE_WORD).fullmatch
+        near: list[str] = []
+        rest: list[str] = []
+        for c in chunks:
+            (near if plain(c) else rest).append(c)
+        for i in range(0, len(near), _SIDE_BY_SIDE):
+            part = near[i : i + _SIDE_BY_SIDE]
+            joined = " ".join(["", *part] if kept else part)
+            ids = np.array(self.tok.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            if kept:  # the bytes of the ids add up to the bytes of the chunks and their spaces
+                ends = np.cumsum(np.fromiter((len(c.encode("utf-8", "surrogatepass")) + 1 for c in part), np.int64, len(part)))
+                upto = np.searchsorted(np.cumsum(self.measure[ids]), ends) + 1
+            else:  # the last id of a word says so
+                upto = np.flatnonzero(self.measure[ids]) + 1
+            self._keep(part, ids, np.diff(upto, prepend=0))
+        for i in range(0, len(rest), _ENCODE_AT_ONCE):
+            part = rest[i : i + _ENCODE_AT_ONCE]
+            real = [(c[1:] if c[:1] == _GLUE else " " + c) for c in part] if kept else part
+            ids = [e.ids for e in self.tok.encode_batch_fast(real, add_special_tokens=False)]
+            self._keep(part, np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
 
     def _whole(self, text: str) -> np.ndarray:
         ids = self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return np.array(ids if self.end is None else [*ids, self.end], np.uint32)
 
+    def _cut(self, texts: list[str], alone: set[int]) -> pa.Array:
+        """The texts' chunks; a chunk without the separator has a space before it (first family)."""
+        if self.family == "dropped":
+            ready, with_marks = [t.replace("\n", " ") for t in texts], r"\1 \2\3"
+        else:
+            line = f" {_GLUE}\n {_GLUE}"
+            ready = ["" if i in alone else _GLUE + (t if _TWO.search(t) else t.replace("\n", line)) for i, t in enumerate(texts)]
+            with_marks = rf"\1 {_GLUE}\2\3"
+        return pc.split_pattern(pc.replace_substring_regex(pa.array(ready, pa.large_string()), _WORD_MARKS, with_marks), " ")
+
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        kept = self.family == "kept"
-        alone = {i for i, t in enumerate(texts) if kept and _RUNS.search(t)}
-        parts = pc.split_pattern(pa.array([("" if i in alone else t) for i, t in enumerate(texts)], pa.large_string()), " ")
-        bounds = parts.offsets.to_numpy()
+        alone = {i for i, t in enumerate(texts) if self.family == "kept" and (_GLUE in t or _RUNS.search(t))}
+        parts = self._cut(texts, alone)
+        bounds = parts.offsets.to_numpy() - parts.offsets[0].as_py()
         coded = parts.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        firsts = [x[0].as_py() for x in parts] if kept else []
-        if len(self.slot) + len(words) + len(texts) > CACHE_CHUNKS:
+        chunks = coded.dictionary.to_pylist()
+        if len(self.slot) + len(chunks) > CACHE_CHUNKS:
             self._reset()
-        slots = self._slots([" " + w for w in words] if kept else words)[coded.indices.to_numpy()]
-        if kept:
-            slots[bounds[:-1] - bounds[0]] = self._slots(firsts)
+        if new := [c for c in chunks if c not in self.slot]:
+            self._learn(new)
+        slots = np.fromiter(map(self.slot.__getitem__, chunks), np.int64, len(chunks))[coded.indices.to_numpy()]
         sizes = self.size[slots]
-        total = int(sizes.sum())
-        ids = self.pool[np.repeat(self.at[slots] - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)]
-        ends = np.concatenate([[0], np.cumsum(sizes)])[bounds - bounds[0]]
+        upto = np.cumsum(sizes)
+        total = int(upto[-1]) if len(upto) else 0
+        ids = self.pool[np.repeat((self.at[slots] - (upto - sizes)).astype(np.int32), sizes) + np.arange(total, dtype=np.int32)]
+        ends = np.concatenate([[0], upto])[bounds]
         tail = [] if self.end is None else [np.array([self.end], np.uint32)]
         return [self._whole(texts[i]) if i in alone else np.concatenate([ids[a:b], *tail]) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))]
 

@@ -78,3 +78,15 @@ def test_damage_is_found(spark, docs):
     open(uri, "wb").write(data)
     with pytest.raises(Exception):  # noqa: B017  the codec or the checksum, whichever sees it first
         list(ShardReader(uri))
+
+
+def test_whole_documents_and_a_small_memory(monkeypatch):
+    import duckdb
+
+    from anamnesis.llm import tokens
+
+    texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()]
+    monkeypatch.setattr(tokens, "CACHE_CHUNKS", 3000)
+    monkeypatch.setattr(tokens, "_CHARS_AT_ONCE", 20_000)
+    for name in FILES:
+        assert [x.tolist() for x in Encoder(tokenizer_file(name), 1).encode(texts)] == [direct(name, t) for t in texts]
