@@ -15,9 +15,9 @@ distances by language name; repeated rows count as often as they occur; other co
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,7 +31,8 @@ MAX_N = 3
 #: More languages than this cannot be: profiles must fit a worker.
 MAX_LANGUAGES = 2000
 #: Distinct n-grams that a task holds before it sends their sums on.
-_FLUSH = 200_000
+_FLUSH = 2_000_000
+_PAD = ord("_")
 _WORD = regex.compile(r"\p{L}+")
 
 
@@ -40,86 +41,86 @@ def grams(word: str, max_n: int = MAX_N) -> list[str]:
     return [w[i : i + n] for n in range(1, max_n + 1) for i in range(len(w) - n + 1) if w[i : i + n] != "_"]
 
 
-def count_grams(words: Counter, into: Counter, max_n: int, memory: dict[str, list[str]]) -> None:
-    for w, c in words.items():
-        got = memory.get(w)
-        if got is None:
-            got = grams(w, max_n)
-            if len(w) <= 24 and len(memory) < _FLUSH:
-                memory[w] = got
-        if c == 1:
-            for g in got:
-                into[g] += 1
-        else:
-            for g in got:
-                into[g] += c
+def codes(texts: list[str | None]) -> np.ndarray:
+    """The n-grams (up to three characters) of texts as integers, 21 bits a character, which order as the n-grams do."""
+    words = [w for t in texts for w in _WORD.findall((t or "").lower())]
+    if not words:
+        return np.empty(0, np.int64)
+    c = np.frombuffer(f"_{'__'.join(words)}_".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    two, three = (c[:-1] << 42) | (c[1:] << 21), (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
+    apart = (c[:-1] == _PAD) & (c[1:] == _PAD)  # between words
+    return np.concatenate([c[c != _PAD] << 42, two[~apart], three[~(apart[:-1] | apart[1:])]])
 
 
-def ranked(counts: Counter, keep: int) -> list[str]:
-    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:keep]]
+def spelled(code: int) -> str:
+    return "".join(chr(x) for k in (42, 21, 0) if (x := code >> k & 0x1FFFFF))
 
 
-def train(labelled: DataFrame, profile: int = PROFILE, max_n: int = MAX_N) -> dict[str, list[str]]:
+def train(labelled: DataFrame, profile: int = PROFILE) -> dict[str, list[str]]:
     """lang -> its n-grams by rank, from labelled(text, lang)."""
-    schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
-        memory: dict[str, list[str]] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-        def sums() -> pa.RecordBatch:
-            rows = [(lang, g, n) for lang, c in held.items() for g, n in c.items()]
+        def summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
+            grams_, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+            return grams_, np.bincount(at, np.concatenate([n for _, n in parts]), len(grams_)).astype(np.int64)
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                g, n = summed(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(n)], schema=schema)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for b in batches:
             for i in range(0, b.num_rows, SLICE_ROWS):
-                rows, words = b.slice(i, SLICE_ROWS).to_pydict(), {}
+                rows, texts = b.slice(i, SLICE_ROWS).to_pydict(), {}
                 for text, lang in zip(rows["text"], rows["lang"], strict=True):
-                    words.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
-                for lang, c in words.items():
-                    count_grams(c, held.setdefault(lang, Counter()), max_n, memory)
-                if sum(map(len, held.values())) > _FLUSH:
-                    yield sums()
-        if any(held.values()):
-            yield sums()
+                    texts.setdefault(lang, []).append(text)
+                for lang, t in texts.items():
+                    held.setdefault(lang, []).append(np.unique(codes(t), return_counts=True))
+                    if len(held[lang]) >= 64:
+                        held[lang] = [summed(held[lang])]
+                if sum(len(g) for parts in held.values() for g, _ in parts) > _FLUSH:
+                    yield from sums()
+        yield from sums()
 
     rows = labelled.select("text", "lang").where("text is not null and lang is not null")
-    sums = rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = saved(sums.withColumn("place", place).where(F.col("place") <= profile), "profiles")
     if (n := top.select("lang").distinct().count()) > MAX_LANGUAGES:
         raise ValueError(f"{n} languages; at most {MAX_LANGUAGES} profiles can be sent to every worker")
     out: dict[str, list[str]] = {}
     for r in sorted(top.collect(), key=lambda r: (r.lang, r.place)):  # languages x profile rows
-        out.setdefault(r.lang, []).append(r.gram)
+        out.setdefault(r.lang, []).append(spelled(r.gram))
     return out
 
 
 class Classifier:
-    """Distances of one text to all profiles. One table gram -> [(language number, place)] serves all languages."""
+    """Distances of one text to all profiles: a matrix of the places of every profile's n-grams."""
 
-    def __init__(self, profiles: dict[str, list[str]], profile: int = PROFILE, doc_profile: int = DOC_PROFILE, max_n: int = MAX_N) -> None:
-        self.langs, self.profile, self.doc_profile, self.max_n = sorted(profiles), profile, doc_profile, max_n
-        self.places: dict[str, list[tuple[int, int]]] = {}
+    def __init__(self, profiles: dict[str, list[str]], profile: int = PROFILE, doc_profile: int = DOC_PROFILE) -> None:
+        self.langs, self.profile, self.doc_profile = sorted(profiles), profile, doc_profile
+        code = lambda g: sum(ord(c) << k for c, k in zip(g, (42, 21, 0), strict=False))
+        self.grams = np.array(sorted({code(g) for p in profiles.values() for g in p}), np.int64)
+        self.places = np.full((len(self.grams), len(self.langs)), -1, np.int64)
         for k, lang in enumerate(self.langs):
-            for place, g in enumerate(profiles[lang]):
-                self.places.setdefault(g, []).append((k, place))
-        self.memory: dict[str, list[str]] = {}
+            at = np.searchsorted(self.grams, np.array([code(g) for g in profiles[lang]], np.int64))
+            self.places[at, k] = np.arange(len(at))
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        words = Counter(_WORD.findall((text or "").lower()))
-        if not words or not self.langs:
+        mine, counts = np.unique(codes([text]), return_counts=True)
+        if not len(mine) or not len(self.grams):
             return "und", 0.0
-        counts: Counter = Counter()
-        count_grams(words, counts, self.max_n, self.memory)
-        mine = ranked(counts, self.doc_profile)
-        away = [len(mine) * self.profile] * len(self.langs)
-        for place, g in enumerate(mine):
-            for k, theirs in self.places.get(g, ()):
-                away[k] -= self.profile - abs(theirs - place)
-        best = min(range(len(away)), key=lambda k: (away[k], k))
-        return self.langs[best], 1.0 - away[best] / (len(mine) * self.profile)
+        mine = mine[np.lexsort((mine, -counts))[: self.doc_profile]]
+        at = np.minimum(np.searchsorted(self.grams, mine), len(self.grams) - 1)
+        theirs = np.where((self.grams[at] == mine)[:, None], self.places[at], -1)
+        off = np.where(theirs < 0, self.profile, np.abs(theirs - np.arange(len(mine))[:, None]))
+        away = off.sum(0)
+        best = int(away.argmin())  # the first of equals: by name
+        return self.langs[best], float(1.0 - away[best] / (len(mine) * self.profile))
 
 
 def classify(docs: DataFrame, profiles: dict[str, list[str]]) -> DataFrame:
