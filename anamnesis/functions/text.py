@@ -110,13 +110,11 @@ def has_date(lower: Column) -> Column:
 def entities(text: Column) -> Column:
     """Capitalised words that do not begin a sentence, in lower case, without common words."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    # each word beside the one before it: looking that up within the lambda would split the text again for every word
+    before = F.slice(F.concat(F.array(F.lit(".")), words), F.lit(1), F.size(words))
+    pairs = F.zip_with(words, before, lambda w, b: F.struct(w.alias("w"), b.alias("b")))
     # a word begins a sentence if it is the first or the word before ends one; a colon counts once past the first word
-    def begins(w, i):
-        before = F.get(words, i - 1)
-        first = F.rlike(before, F.lit(r"[.!?]$"))
-        return (i == 0) | first | ((i > 1) & F.rlike(before, F.lit(":$")))
-
-    inner = F.filter(words, lambda w, i: ~begins(w, i))
+    inner = F.transform(F.filter(pairs, lambda x, i: ~(F.rlike(x["b"], F.lit(r"[.!?]$")) | ((i > 1) & F.rlike(x["b"], F.lit(":$"))))), lambda x: x["w"])
     clean = F.transform(inner, lambda w: F.regexp_replace(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""), r"('|’)s$", ""))
     common = F.array(*[F.lit(w) for w in R.COMMON_WORDS])
     bare = lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", "")

@@ -12,8 +12,9 @@ from ..functions import text as X
 
 def stored(texts: DataFrame, now: Column, config: Config = DEFAULT) -> DataFrame:
     """Rows of the memories table from texts(id, content, source): masked, classified, rewritten, categorised, labelled."""
-    masked = X.pii_mask(F.col("content"))
-    rows = texts.select("id", "content", "source").withColumns(
+    # the masked text is a column of its own, not an expression repeated in each rule
+    masked = F.col("_masked")
+    rows = texts.select("id", "content", "source", X.pii_mask(F.col("content")).alias("_masked")).withColumns(
         {
             "masked_content": F.when(masked != F.col("content"), masked),
             "sensitivity": X.sensitivity(F.col("content")),
@@ -29,7 +30,7 @@ def stored(texts: DataFrame, now: Column, config: Config = DEFAULT) -> DataFrame
             "label_version": F.lit(1),
         }
     )
-    return rows
+    return rows.drop("_masked")
 
 
 def accepted(texts: DataFrame, existing: int, config: Config = DEFAULT) -> DataFrame:

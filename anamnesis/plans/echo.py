@@ -16,6 +16,7 @@ from ..functions import rules as R
 from ..functions import scoring as S
 from ..functions import text as X
 from ..operators import fusion, graph, memories, vectors
+from ..sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -95,9 +96,10 @@ def graph_candidates(store: Store, queries: DataFrame, ranked: DataFrame, config
 def echo(store: Store, queries: DataFrame, now: Column, config: Config = DEFAULT, at_time: Column | None = None) -> Answer:
     """results: query_id, id, rank, sim, score, content, source, labels. queries(query_id, text, v); now in epoch seconds."""
     k = config.max_results
-    asked = memories.gate(queries, store.memories).withColumn("query_labels", X.query_labels(F.col("text")))
-    near = candidates(store, asked, config, 4 * k)
-    walked = graph_candidates(store, asked, near, config)
+    # the few rows of queries and of their best results are written between steps: each step's plan stays small
+    asked = written(memories.gate(queries, store.memories).withColumn("query_labels", X.query_labels(F.col("text"))), "asked")
+    near = written(candidates(store, asked, config, 4 * k), "near")
+    walked = written(graph_candidates(store, asked, near, config), "walked")
     fused = fusion.reciprocal_rank([near, walked], config.rrf_k)
     pool = near.unionByName(walked).join(fused, ["query_id", "id"])
 
@@ -107,7 +109,7 @@ def echo(store: Store, queries: DataFrame, now: Column, config: Config = DEFAULT
     rescued = _rescued(rows, store, config)
     seen = direct.select("query_id", "id").distinct()
     first = direct.unionByName(rescued.join(seen, ["query_id", "id"], "left_anti"))
-    top = fusion.top_k(first, k, "sim").drop("rank")
+    top = written(fusion.top_k(first, k, "sim").drop("rank"), "top")
 
     learned = _pairs(top)
     edges = store.edges if at_time is None else graph.valid_at(store.edges, at_time)
@@ -119,7 +121,7 @@ def echo(store: Store, queries: DataFrame, now: Column, config: Config = DEFAULT
     age = F.greatest(now - F.unix_timestamp("created_at"), F.lit(0)).cast("double")
     scored = scored.withColumn("since_echo", (now - F.unix_timestamp("last_echoed")).cast("double"))
     scored = scored.withColumn("score", base_score(F.col("sim"), boost, age, scored, config))
-    scored = adjusted(scored, config)
+    scored = written(adjusted(scored, config), "scored")
 
     topic = F.coalesce(F.get(F.filter("labels", lambda x: x.startswith("topic:")), F.lit(0)), F.lit("topic:unknown"))
     spread = scored.withColumns({"topic": topic, "subjects": F.when(F.col("subject").isNotNull(), F.array("subject"))})

@@ -14,6 +14,7 @@ from ..functions import rules as R
 from ..functions import scoring as S
 from ..functions import text as X
 from ..operators import consolidate, context, fusion, graph, memories, routing, vectors
+from ..sources.shared import written
 from ..streaming import twins
 from . import echo as E
 
@@ -531,7 +532,7 @@ def store(spark, sf) -> E.Store:
     rows = rows.select("*", F.lit(None).cast("timestamp").alias("last_echoed"), F.lit(None).cast("bigint").alias("parent_id"), F.lit(None).cast("string").alias("subject"), F.lit(None).cast("timestamp").alias("superseded_at"), F.lit(0.5).alias("importance"))
     rows = rows.withColumn("labels", F.array_append("labels", F.concat(F.lit("topic:"), F.col("label").cast("string"))))
     edges = co_edges(spark, sf).select("src", "dst", "weight", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("double").alias("valid_from"), F.lit(None).cast("double").alias("valid_until"))
-    return E.Store(rows, vec.select("id", "v"), edges)
+    return E.Store(written(rows, "memories"), vec.select("id", "v"), written(edges, "edges"))
 
 
 @query()
