@@ -73,9 +73,10 @@ def children(parents: DataFrame, found: DataFrame, config: Config = DEFAULT) ->
 
 def new_children(made: DataFrame, existing: DataFrame) -> DataFrame:
     """Children whose parent has no child of the same subject (in any case) and text yet."""
-    key = lambda df: [df.parent_id, F.lower(df.subject), F.lower(df.content)]
-    same = [a.eqNullSafe(b) for a, b in zip(key(made), key(existing), strict=True)]
-    return made.join(existing, same[0] & same[1] & same[2], "left_anti")
+    told = existing.select(F.col("parent_id").alias("_p"), F.lower("subject").alias("_s"), F.lower("content").alias("_c")).distinct()
+    rows = made.withColumns({"_ls": F.lower("subject"), "_lc": F.lower("content")})
+    same = F.col("parent_id").eqNullSafe(F.col("_p")) & F.col("_ls").eqNullSafe(F.col("_s")) & F.col("_lc").eqNullSafe(F.col("_c"))
+    return rows.join(told, same, "left_anti").drop("_ls", "_lc")
 
 
 def superseded(new: DataFrame, old: DataFrame) -> DataFrame:
