@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import os
+import tomllib
+from dataclasses import dataclass, fields, replace
 
 
 @dataclass(frozen=True)
@@ -38,3 +40,19 @@ PRESETS = {
     "full": DEFAULT,
     "maximum": replace(DEFAULT, max_memories=5_000_000),
 }
+
+
+def loaded(path: str | None = None, environ: dict[str, str] | None = None, prefix: str = "ANAMNESIS_", base: Config = DEFAULT) -> Config:
+    """Defaults, then a TOML file, then environment variables (prefix and the field's name in capitals). Unknown keys are left out."""
+    told: dict = {}
+    if path and os.path.exists(path):
+        with open(path, "rb") as f:
+            told |= tomllib.load(f)
+    env = os.environ if environ is None else environ
+    told |= {f.name: env[prefix + f.name.upper()] for f in fields(Config) if prefix + f.name.upper() in env}
+
+    def cast(name: str, value):
+        kind = type(getattr(base, name))
+        return str(value).strip().lower() in ("1", "true", "yes", "on") if kind is bool else kind(value)
+
+    return replace(base, **{k: cast(k, v) for k, v in told.items() if k in {f.name for f in fields(Config)}})

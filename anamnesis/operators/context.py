@@ -69,3 +69,15 @@ def injected(messages: DataFrame, blocks: DataFrame) -> DataFrame:
     own = joined.select("conv_id", "turn", "role", text.alias("text"))
     alone = blocks.join(first, "conv_id", "left_anti").join(messages.groupBy("conv_id").agg((F.min("turn") - 1).alias("turn")), "conv_id")
     return own.unionByName(alone.select("conv_id", "turn", F.lit("system").alias("role"), F.col("block").alias("text")))
+
+
+def assembled(segments: DataFrame, budget: Column) -> DataFrame:
+    """What stays of prompts that are over their budget: the oldest conversation goes first, then the last documents.
+
+    segments(prompt_id, kind, place, tokens); kinds system, echo and query always stay.
+    """
+    rank = F.when(F.col("kind") == "conversation", 2).when(F.col("kind") == "rag", 1).otherwise(0)
+    # in the order of staying: fixed parts, documents from the first, conversation from the newest
+    order = F.when(F.col("kind") == "conversation", -F.col("place")).otherwise(F.col("place"))
+    walk = Window.partitionBy("prompt_id").orderBy(rank, order, "kind").rowsBetween(Window.unboundedPreceding, 0)
+    return segments.withColumn("used", F.sum("tokens").over(walk)).where((rank == 0) | (F.col("used") <= budget)).drop("used")

@@ -78,12 +78,16 @@ def _head(best: list[tuple], k: int) -> tuple:
     return at[place < k], sim[place < k], row[place < k]
 
 
+def _cells(rows: DataFrame, block: int) -> DataFrame:
+    """Each row (id, v) with its block `own`, once for each pair of blocks i <= j that it takes part in."""
+    blocks = max(1, -(-rows.count() // block))
+    placed = rows.select(F.col("id").cast("long").alias("id"), "v").where("v is not null and size(v) > 0").withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    return placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
+
+
 def similar_pairs(rows: DataFrame, threshold: float, block: int = PAIR_BLOCK) -> DataFrame:
     """a < b, sim of all pairs above the threshold; rows(id, v) in blocks of bounded size, each pair of blocks one task's group."""
-    n = rows.count()
-    blocks = max(1, -(-n // block))
-    placed = rows.select(F.col("id").cast("long").alias("id"), "v").where("v is not null and size(v) > 0").withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    cells = _cells(rows, block)
 
     def run(table: pa.Table) -> pa.Table:
         m, good = _matrix(table["v"].combine_chunks())
@@ -96,13 +100,24 @@ def similar_pairs(rows: DataFrame, threshold: float, block: int = PAIR_BLOCK) ->
         ok = (a < b) if i == j else (a != b)
         return pa.table({"a": pa.array(np.minimum(a, b)[ok], pa.int64()), "b": pa.array(np.maximum(a, b)[ok], pa.int64()), "sim": pa.array(s[ok], pa.float64())})
 
-    return cells.select("id", "v", "own", "i", "j").groupBy("i", "j").applyInArrow(run, "a long, b long, sim double")
+    return cells.groupBy("i", "j").applyInArrow(run, "a long, b long, sim double")
 
 
-def novelty(rows: DataFrame) -> DataFrame:
-    """id, novelty: one minus the largest similarity to a row with a smaller id; 1 for the first."""
-    pairs = similar_pairs(rows, -2.0)
-    best = pairs.groupBy(F.col("b").alias("id")).agg(F.max("sim").alias("best"))
+def novelty(rows: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
+    """id, novelty: one minus the largest similarity to a row with a smaller id; 1 for the first. A pair of blocks tells
+    one number for each row, never its pairs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        m, good = _matrix(table["v"].combine_chunks())
+        ids = np.asarray(table["id"])[good]
+        order = np.argsort(ids, kind="stable")
+        ids, m = ids[order], m[order]
+        sims = np.where(ids[:, None] < ids[None, :], np.round(m @ m.T, 9), -np.inf) if len(m) else np.zeros((0, 0))
+        best = sims.max(0) if len(m) else np.zeros(0)
+        some = np.isfinite(best)
+        return pa.table({"id": pa.array(ids[some], pa.int64()), "best": pa.array(best[some], pa.float64())})
+
+    best = _cells(rows, block).groupBy("i", "j").applyInArrow(run, "id long, best double").groupBy("id").agg(F.max("best").alias("best"))
     return rows.select("id").join(best, "id", "left").select("id", F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("best"))), F.lit(1.0)).alias("novelty"))
 
 
