@@ -9,8 +9,7 @@ so an item in a text always lies within one passage.
 
 Items are indexed in blocks of a bounded number, by length class; the index sent to the workers never
 exceeds that bound, and further blocks are further passes. Most passages are settled by a bound on what
-an item can score: its common words can give no more than the largest share they have of any item, so
-the passage's rare words must make up the difference.
+an item can score: all its common words together, and those of its rare words that the passage has.
 
 Defined cases: items without words match nothing; null and empty texts have no passages; null ids pass
 through; repeated documents give repeated rows, repeated items a row each; an item found in several
@@ -88,29 +87,35 @@ class Index:
                 got[0].append(k)
                 got[1].append(x / own)
         self.lists = {t: Postings(*x) for t, x in lists.items()}
-        # common words are those of more than a twentieth of the items; rest: the largest share they have of an item
+        # common words are those of more than a twentieth of the items; shares: what they can give each item at most
         most = max(2, len(words) // 20)
         common = {t for t, p in self.lists.items() if len(p.items) > most}
-        shares = [0.0] * len(words)
+        self.shares = [0.0] * len(words)
         for t in common:
             for k, x in zip(self.lists[t].items, self.lists[t].weights, strict=True):
-                shares[k] += x
-        self.rest = max(shares)
-        self.rare = {t: p.top for t, p in self.lists.items() if t not in common}
+                self.shares[k] += x
+        self.rest = max(self.shares)
+        self.rare = {t: list(zip(p.items, p.weights, strict=True)) for t, p in self.lists.items() if t not in common}
 
-    def passages(self, words: list[bytes]):
-        """(start, end) of the passages whose rare words could lift an item to the threshold."""
+    def passages(self, words: list[bytes], hits: list[tuple[int, bytes]] | None = None):
+        """(start, end) of the passages whose rare words could lift an item to the threshold. hits: places of words that
+        include all rare ones."""
         step, need = self.longest, self.threshold - self.rest
         n, rare = len(words), self.rare
-        hits = [(k, rare[w]) for k, w in enumerate(words) if w in rare]
         if need > 0:
-            if not hits:
-                return
-            sums: dict[int, float] = {}
-            for k, x in hits:
-                b = k // step
-                sums[b] = sums.get(b, 0.0) + x
-            blocks = sorted({c for b in sums for c in (b - 1, b) if c >= 0 and sums.get(c, 0.0) + sums.get(c + 1, 0.0) >= need})
+            held: dict[int, dict[int, float]] = {}
+            seen: set[tuple[int, bytes]] = set()
+            for k, w in enumerate(words) if hits is None else hits:
+                if w in rare and (key := (k // step, w)) not in seen:
+                    seen.add(key)
+                    sums = held.setdefault(key[0], {})
+                    for item, x in rare[w]:
+                        sums[item] = sums.get(item, 0.0) + x
+            blocks, none = [], {}
+            for b in sorted({c for b in held for c in (b - 1, b) if c >= 0}):
+                one, two = held.get(b, none), held.get(b + 1, none)
+                if any(x + two.get(i, 0.0) + self.shares[i] >= self.threshold for i, x in one.items()) or any(x + one.get(i, 0.0) + self.shares[i] >= self.threshold for i, x in two.items()):
+                    blocks.append(b)
         else:
             blocks = range(max(1, -(-n // step)))
         for b in blocks:
@@ -161,10 +166,10 @@ class Index:
             at = moved
         return out
 
-    def matches(self, words: list[bytes]) -> dict[int, tuple]:
+    def matches(self, words: list[bytes], hits: list[tuple[int, bytes]] | None = None) -> dict[int, tuple]:
         """item number -> (score, question overlap, answer overlap, first word of the passage) of verified items."""
         best: dict[int, tuple] = {}
-        for a, b in self.passages(words):
+        for a, b in self.passages(words, hits):
             part = words[a:b]
             held = set(part)
             got = self.retrieve(held)
@@ -182,6 +187,11 @@ class Index:
         return best
 
 
+def rare_words(indexes: list[Index]) -> frozenset[bytes]:
+    """The rare words of any of the indexes: one look at each word of a text serves them all."""
+    return frozenset().union(*(x.rare for x in indexes))
+
+
 def build_indexes(items: DataFrame, threshold: float = THRESHOLD, block: int = INDEX_ITEMS):
     """Lists of indexes (one per length class), a list for each block of at most `block` items(item_id, text).
 
@@ -222,14 +232,15 @@ def find_matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     names = [x.split()[0] for x in schema.split(", ")]
     out = spark.createDataFrame([], schema)
     for indexes in build_indexes(items, threshold, block):
-        held = spark.sparkContext.broadcast(indexes)
+        held = spark.sparkContext.broadcast((indexes, rare_words(indexes)))
 
         def run(rows: dict[str, list], held=held) -> dict[str, list]:
             got: list[tuple] = []
             for doc, text in zip(rows["doc_id"], rows["text"], strict=True):
-                words = words_of(text)
-                for index in held.value:
-                    got += [(doc, index.items[k][0], *m) for k, m in sorted(index.matches(words).items())]
+                words, (all_indexes, rare) = words_of(text), held.value
+                hits = [(k, w) for k, w in enumerate(words) if w in rare]
+                for index in all_indexes:
+                    got += [(doc, index.items[k][0], *m) for k, m in sorted(index.matches(words, hits).items())]
             return dict(zip(names, zip(*got, strict=True) if got else [[]] * len(names), strict=True))
 
         out = out.unionByName(arrow_map(docs.select("doc_id", "text"), schema, run))
@@ -242,10 +253,15 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, threshold: float = TH
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "text")
     row_type = out.schema["_row"].dataType.simpleString()
     for indexes in build_indexes(items, threshold, block):
-        held = spark.sparkContext.broadcast(indexes)
+        held = spark.sparkContext.broadcast((indexes, rare_words(indexes)))
 
         def run(rows: dict[str, list], held=held) -> dict[str, list]:
-            good = [i for i, t in enumerate(rows["text"]) if not any(x.matches(words_of(t)) for x in held.value)]
+            good, (all_indexes, rare) = [], held.value
+            for i, t in enumerate(rows["text"]):
+                words = words_of(t)
+                hits = [(k, w) for k, w in enumerate(words) if w in rare]
+                if not any(x.matches(words, hits) for x in all_indexes):
+                    good.append(i)
             return {c: [rows[c][i] for i in good] for c in ("_row", "text")}
 
         out = arrow_map(out, f"_row {row_type}, text string", run)
