@@ -193,9 +193,15 @@ def graph_walk(spark, sf):
     return graph.traverse(co_edges(spark, sf), anchors, 2, 20).select("anchor", "id", "hop", F.round("weight", 6).alias("weight"))
 
 
-@query(CO_EVENTS + "SELECT src, dst, round(weight, 6) AS weight FROM f WHERE src % 3 = 0 AND dst % 3 = 0 AND weight > 0.01")
+@query(
+    CO_EVENTS
+    + """, busy AS (SELECT user_id FROM events GROUP BY 1 HAVING count(*) > (SELECT count(*)::DOUBLE / count(DISTINCT user_id) FROM events))
+SELECT src, dst, round(weight, 6) AS weight FROM f WHERE src IN (SELECT * FROM busy) AND dst IN (SELECT * FROM busy) AND weight > 0.01"""
+)
 def subgraph_edges(spark, sf):
-    ids = table(spark, sf, "events").where("user_id % 3 = 0").select(F.col("user_id").alias("id"))
+    """Edges among users with more events than the mean user."""
+    counts = table(spark, sf, "events").groupBy(F.col("user_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    ids = counts.join(counts.agg(F.avg("n").alias("mean"))).where("n > mean").select("id")
     return graph.subgraph(co_edges(spark, sf), ids, 0.01).select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
