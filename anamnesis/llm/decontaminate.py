@@ -41,8 +41,8 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Words in ASCII lower case without marks."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().translate(None, _MARKS).split()
+    """Words with case folded as Unicode (É as é, ß as ss) and without marks."""
+    return (text or "").casefold().encode("utf-8", "surrogatepass").translate(None, _MARKS).split()
 
 
 def split_item(text: str) -> tuple[list[bytes], list[bytes]]:

@@ -59,3 +59,15 @@ def test_matches_and_removal(spark):
     assert D.find_matches(docs.limit(0), items).count() == 0
     assert D.find_matches(docs, items.limit(0)).count() == 0
     assert D.remove_contaminated(docs, items.limit(0)).count() == len(rows)
+
+
+def test_capitals_beyond_ascii_match(spark):
+    item = "La canción de la niña se oyó allí, según Íñigo, en la estación más fría. El año próximo será más cálido."
+    german = "Die Straße führt größtenteils über weiße Flüsse und heiße Äcker. Der süße Gruß ließ mich außen stehen."
+    items = spark.createDataFrame([(0, item), (1, german), (2, "Another item of quite other words. It has an answer.")], "item_id long, text string")
+    texts = [item.upper(), "x y z " + german.upper() + " x", item, german, "nada de eso"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = D.find_matches(docs, items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(0, 0), (1, 1), (2, 0), (3, 1)]
+    assert all(r.score > 0.99 and r.question_overlap == 1 and r.answer_overlap == 1 for r in got)
+    assert [r.doc_id for r in D.remove_contaminated(docs, items).collect()] == [4]
