@@ -7,6 +7,7 @@ that go in blocks) and keep each task's best rows only, so that a shuffle carrie
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 QUERY_BLOCK = 4096
 #: Vectors of one side of a block in an all-pairs join.
 PAIR_BLOCK = 2048
+#: Buckets of a table that a query looks into, and the bits in which they may differ from its own.
+PROBES, FLIPS = 80, 3
 
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +132,15 @@ def planes(dim: int, tables: int = 16, bits: int = 10, seed: int = 42) -> np.nda
     return p / np.linalg.norm(p, axis=2, keepdims=True)
 
 
+def _flips(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of up to FLIPS bits, the empty set and single bits first: as numbers, and as rows of zeros and ones."""
+    sets = [x for n in range(min(FLIPS, bits) + 1) for x in combinations(range(bits), n)]
+    return np.array([sum(1 << i for i in x) for x in sets]), np.array([[i in x for i in range(bits)] for x in sets], np.float64)
+
+
 def _hashed(rows: DataFrame, key: str, p: np.ndarray, probe: bool) -> DataFrame:
+    """Buckets of rows. A probing row has its own bucket, all that differ by a bit, and of those that differ by more the ones
+    whose planes it is nearest to (the smallest sums of squared distances), PROBES of a table in all."""
     held = rows.sparkSession.sparkContext.broadcast(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,8 +151,15 @@ def _hashed(rows: DataFrame, key: str, p: np.ndarray, probe: bool) -> DataFrame:
             m, ok = _matrix(b.column(1))
             if not len(m) or m.shape[1] != dim:
                 continue
-            code = (np.einsum("nd,tbd->ntb", m, p) >= 0) @ weights
-            codes = np.concatenate([code[:, :, None], code[:, :, None] ^ weights[None, None, :]], 2) if probe else code[:, :, None]
+            far = np.einsum("nd,tbd->ntb", m, p)
+            code = (far >= 0) @ weights
+            codes = code[:, :, None]
+            if probe:
+                masks, flipped = _flips(bits)
+                cost = (far * far) @ flipped.T
+                cost[:, :, : bits + 1] = -1.0
+                nearest = np.argsort(cost, axis=2, kind="stable")[:, :, : max(PROBES, bits + 1)]
+                codes = codes ^ masks[nearest]
             ids = b.column(0).to_numpy(zero_copy_only=False)[ok]
             n, _, c = codes.shape
             yield pa.RecordBatch.from_pydict({key: pa.array(np.repeat(ids, tables * c), pa.int64()), "table_id": pa.array(np.tile(np.repeat(np.arange(tables), c), n), pa.int32()), "bucket": pa.array(codes.ravel(), pa.int64())})
@@ -155,7 +173,7 @@ def lsh_index(rows: DataFrame, p: np.ndarray) -> DataFrame:
 
 
 def lsh_candidates(index: DataFrame, queries: DataFrame, p: np.ndarray) -> DataFrame:
-    """query_id, id of rows in a query's buckets or in one that differs by a bit."""
+    """query_id, id of rows in a query's buckets or in one that it probes."""
     probes = _hashed(queries, "query_id", p, probe=True)
     return probes.join(index, ["table_id", "bucket"]).select("query_id", "id").distinct()
 

@@ -114,7 +114,7 @@ def rank_fusion(spark, sf):
 
 @query()
 def lsh_candidates(spark, sf):
-    """Hyperplane buckets with one-bit probes; recall is tested against the exact scan."""
+    """Hyperplane buckets, probed where a query is nearest to the planes; recall is tested against the exact scan."""
     rows = embedded(spark, sf)
     p = vectors.planes(len(rows.first().v), DEFAULT.lsh_tables, DEFAULT.lsh_bits)
     return vectors.candidates(vectors.lsh_index(rows, p), rows, asked(rows), p, least=DEFAULT.min_candidates)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from anamnesis.functions import scoring as S
 from anamnesis.functions import text as X
 from anamnesis.operators import consolidate, context, fusion, graph, memories, vectors
+from anamnesis.plans import queries as Q
 from anamnesis.sources import snapshots
 
 
@@ -19,6 +20,16 @@ def test_lsh_recall_against_the_exact_scan(spark):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_lsh_recall_on_the_embeddings_table(spark):
+    for sf in ("sf0.01", "sf0.1"):
+        rows = Q.embedded(spark, f"/root/testdata/{sf}")
+        found = {(r.query_id, r.id) for r in Q.lsh_candidates(spark, f"/root/testdata/{sf}").collect()}
+        for k in (10, 100_000):
+            exact = {(r.query_id, r.id) for r in vectors.knn(rows, Q.asked(rows), k, 0.14).collect()}
+            print(sf, k, len(exact & found) / len(exact))
+            assert len(exact & found) >= 0.9 * len(exact)
+
+
 def test_odd_vectors_match_nothing(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [1.0]), (6, [2.0, 0.0]), (7, [1.0, 0.0])], "id long, v array<float>")
     got = vectors.knn(rows, rows.select(F.col("id").alias("query_id"), "v"), 5, 0.5).collect()
