@@ -72,6 +72,34 @@ def knn(rows: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.0
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def kin_above(kin: DataFrame, queries: DataFrame, threshold: float, near: float) -> DataFrame:
+    """query_id, id, child, sim, child_sim of every child whose similarity times weight reaches the threshold while its
+    parent's lies in [near, threshold). kin(id, child, weight, v, child_v), queries(query_id, v); child_sim is weighted."""
+    count, out = queries.count(), None
+    for start in range(0, max(count, 1), QUERY_BLOCK):
+        block = queries.select("query_id", "v") if count <= QUERY_BLOCK else queries.select("query_id", "v").orderBy("query_id").offset(start).limit(QUERY_BLOCK)
+        got = block.toArrow() if count else pa.table({"query_id": pa.array([], pa.int64()), "v": pa.array([], pa.list_(pa.float32()))})
+        q, good = _matrix(got["v"].combine_chunks()) if got.num_rows else (np.zeros((0, 0)), np.zeros(0, bool))
+        held = kin.sparkSession.sparkContext.broadcast((q, np.asarray(got["query_id"])[good] if got.num_rows else np.zeros(0, np.int64)))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            q, ids = held.value
+            for whole in batches:
+                for b in (whole.slice(i, PAIR_BLOCK) for i in range(0, whole.num_rows, PAIR_BLOCK)):
+                    (m, ok), (c, child_ok) = _matrix(b.column(3)), _matrix(b.column(4))
+                    both = ok & child_ok
+                    if not both.any() or not len(ids) or not m.shape[1] == c.shape[1] == q.shape[1]:
+                        continue
+                    own, child, weight = (b.column(i).to_numpy(zero_copy_only=False)[both] for i in range(3))
+                    sims, child_sims = np.round(q @ m[both[ok]].T, 9), np.round((q @ c[both[child_ok]].T) * weight[None, :], 9)
+                    at, row = np.nonzero((sims >= near) & (sims < threshold) & (child_sims >= threshold))
+                    yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[at], pa.int64()), "id": pa.array(own[row], pa.int64()), "child": pa.array(child[row], pa.int64()), "sim": pa.array(sims[at, row], pa.float64()), "child_sim": pa.array(child_sims[at, row], pa.float64())})
+
+        part = kin.select(F.col("id").cast("long").alias("id"), F.col("child").cast("long").alias("child"), F.col("weight").cast("double").alias("weight"), "v", "child_v").where("v is not null and child_v is not null").mapInArrow(run, "query_id long, id long, child long, sim double, child_sim double")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _head(best: list[tuple], k: int) -> tuple:
     at, sim, row = (np.concatenate(x) for x in zip(*best, strict=True))
     order = np.lexsort((row, -sim, at))

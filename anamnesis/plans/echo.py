@@ -77,8 +77,9 @@ def adjusted(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def candidates(store: Store, queries: DataFrame, config: Config, depth: int) -> DataFrame:
-    """query_id, id, sim of the best rows by similarity, of at least half the threshold."""
-    return vectors.knn(store.vectors, queries, depth, config.similarity_threshold / 2, keep_self=True).select("query_id", "id", "sim")
+    """query_id, id, sim of the best rows without a parent by similarity, of at least half the threshold."""
+    children = store.memories.where("parent_id is not null").select("id")
+    return vectors.knn(store.vectors.join(children, "id", "left_anti"), queries, depth, config.similarity_threshold / 2, keep_self=True).select("query_id", "id", "sim")
 
 
 def graph_candidates(store: Store, queries: DataFrame, ranked: DataFrame, config: Config) -> DataFrame:
@@ -106,9 +107,9 @@ def echo(store: Store, queries: DataFrame, now: Column, config: Config = DEFAULT
     rows = pool.join(store.memories, "id").join(asked.select("query_id", F.col("text").alias("query"), "query_labels"), "query_id")
     over = F.col("sim") >= config.similarity_threshold
     direct = rows.where(over & F.col("parent_id").isNull())
-    rescued = _rescued(rows, store, config)
+    rescued = _rescued(store, asked, config)
     seen = direct.select("query_id", "id").distinct()
-    first = direct.unionByName(rescued.join(seen, ["query_id", "id"], "left_anti"))
+    first = direct.unionByName(rescued.join(seen, ["query_id", "id"], "left_anti"), allowMissingColumns=True)
     top = written(fusion.top_k(first, k, "sim").drop("rank"), "top")
 
     learned = _pairs(top)
@@ -133,14 +134,20 @@ def echo(store: Store, queries: DataFrame, now: Column, config: Config = DEFAULT
     return Answer(results, events, top.select("id", now.alias("ts")))
 
 
-def _rescued(rows: DataFrame, store: Store, config: Config) -> DataFrame:
-    """Enriched rows whose best child on the query's topic reaches the threshold; they take its similarity."""
-    low = rows.where(F.col("enriched") & F.col("parent_id").isNull() & (F.col("sim") < config.similarity_threshold))
-    child = rows.where(F.col("parent_id").isNotNull()).where(topic_matches(F.col("labels"), F.col("query_labels"), F.col("subject"), F.col("query")))
-    best = child.groupBy("query_id", F.col("parent_id").alias("id")).agg(F.max_by(F.col("sim"), F.col("sim") * F.greatest(F.coalesce("confidence", F.lit(1.0)), F.lit(0.01))).alias("child_sim"))
-    aligned = F.when(F.size("query_labels") > 0, F.arrays_overlap("labels", "query_labels")).otherwise(F.col("sim") >= 0.4 * config.similarity_threshold)
-    got = low.where(aligned).join(best, ["query_id", "id"]).where(F.col("child_sim") >= config.similarity_threshold)
-    return got.withColumn("sim", F.col("child_sim")).drop("child_sim")
+def _rescued(store: Store, asked: DataFrame, config: Config) -> DataFrame:
+    """Enriched rows near the threshold whose best child on the query's topic, weighted by its confidence, reaches it; they
+    take the child's weighted similarity. All rows of the store are asked, whatever their place."""
+    told = asked.select("query_id", F.col("text").alias("query"), "query_labels")
+    parents = store.memories.where("enriched and parent_id is null").select("id").join(store.vectors.select("id", "v"), "id")
+    weight = F.greatest(F.coalesce("confidence", F.lit(1.0)), F.lit(0.01)).alias("weight")
+    kids = store.memories.where("parent_id is not null").select(F.col("id").alias("child"), F.col("parent_id").alias("id"), weight, F.col("labels").alias("child_labels"), F.col("subject").alias("child_subject"))
+    kin = kids.join(parents, "id").join(store.vectors.select(F.col("id").alias("child"), F.col("v").alias("child_v")), "child")
+    found = vectors.kin_above(kin, asked, config.similarity_threshold, config.similarity_threshold / 2)
+    gated = found.join(kids.select("child", "child_labels", "child_subject"), "child").join(told, "query_id").where(topic_matches(F.col("child_labels"), F.col("query_labels"), F.col("child_subject"), F.col("query")))
+    best = gated.groupBy("query_id", "id").agg(F.first("sim").alias("own_sim"), F.max("child_sim").alias("sim"))
+    rows = best.join(store.memories, "id").join(told, "query_id")
+    aligned = F.when(F.size("query_labels") > 0, F.arrays_overlap("labels", "query_labels")).otherwise(F.col("own_sim") >= 0.4 * config.similarity_threshold)
+    return rows.where(aligned).drop("own_sim")
 
 
 def _pairs(top: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from anamnesis.functions import scoring as S
 from anamnesis.functions import text as X
 from anamnesis.operators import consolidate, context, fusion, graph, memories, vectors
+from anamnesis.plans import echo as E
 from anamnesis.plans import queries as Q
 from anamnesis.sources import snapshots
 
@@ -127,3 +128,24 @@ def test_messages(spark):
     blocks = spark.createDataFrame([(1, "- a"), (2, "- b")], "conv_id long, block string")
     got = {(r.conv_id, r.turn): (r.role, r.text) for r in context.injected(turns, blocks).collect()}
     assert got == {(1, 0): ("system", "Be kind.\n- a"), (1, 1): ("user", "hi"), (2, 4): ("system", "- b"), (2, 5): ("user", "yo")}
+
+
+def test_parents_are_rescued_beyond_the_nearest_rows(spark):
+    """60 rows and 60 children above the threshold come before a near-miss parent and its child."""
+
+    def at(sim, axis):
+        v = [0.0] * 8
+        v[0], v[axis] = sim, (1 - sim * sim) ** 0.5
+        return v
+
+    # id, parent, enriched, confidence, sim
+    data = [(i, None, False, 1.0, 0.2 + i / 1000) for i in range(60)] + [(100 + i, 1, False, 1.0, 0.9 + i / 10000) for i in range(60)]
+    data += [(200, None, True, 1.0, 0.1), (201, 200, False, 1.0, 0.85), (202, None, True, 1.0, 0.1), (203, 202, False, 0.1, 0.95), (204, None, True, 1.0, 0.05), (205, 204, False, 1.0, 0.95)]
+    columns = "id long, parent_id long, enriched boolean, confidence double, sim double, v array<float>"
+    rows = spark.createDataFrame([(*d, at(d[4], 1 + d[0] % 7)) for d in data], columns)
+    full = rows.selectExpr("id", "concat('word ', id) as content", "'x' as source", "cast(array() as array<string>) as labels", "'Conversation' as category", "0.5D as importance", "timestamp'2024-01-01' as created_at", "cast(null as timestamp) as last_echoed", "0 as echo_count", "enriched", "confidence", "parent_id", "cast(null as string) as subject", "cast(null as timestamp) as superseded_at")
+    edges = spark.createDataFrame([], "src long, dst long, weight double, kind string, valid_from double, valid_until double")
+    asked = spark.createDataFrame([(1, "word", at(1.0, 1))], "query_id long, text string, v array<float>")
+    got = {r.id: r.sim for r in E.echo(E.Store(full, rows.select("id", "v"), edges), asked, F.lit(1_706_659_200)).results.collect()}
+    assert abs(got.pop(200) - 0.85) < 1e-6
+    assert got and set(got) <= set(range(51, 60))
