@@ -1,31 +1,38 @@
 """Exact self-join of documents on the Jaccard similarity of their word n-grams, and its components (operator 1).
 
 A document is the set of its distinct 5-word shingles, hashed to 64 bits. Rows with equal sets are one
-set from the start. The order of tokens is that of their hashes, and prefixes are extended to a fixed
-share of the hash range, so that a token's place needs no global statistics; a document too short for
-that share is indexed by all its tokens.
-
-* Rare tokens (held by at most RARE sets) are indexed singly: the sets of such a token are candidates.
-* Two linked sets that share no rare token of that share have a combination of two frequent ones in
-  common among the first (allowed mismatches + 2 - rare tokens) of either. Only sets with so few rare
-  tokens are indexed by frequent ones. In a crowd of near copies nearly every pair of sets has nearly
-  every combination in common, so combinations are not written out: sets that share frequent tokens of
-  their prefixes are gathered into regions, and a region is joined in bounded blocks of sets, where a
-  matrix product counts common tokens and sizes too far apart never meet.
+set from the start. The order of tokens is that of their hashes, and a prefix is a fixed share of the hash
+range, so that a token's place needs no global statistics.
+
+* Rare tokens (held by at most RARE sets) are indexed singly: the sets of such a token are candidates. A
+  set with more rare tokens in its prefix than may be missing from a linked one is settled by them.
+* The others, made of frequent tokens or very short, are indexed by combinations of tokens. The prefix is
+  extended until its tokens can be dealt, by ranges of the token order, into more groups than two linked
+  sets can differ in: one group then holds the same tokens in both. Those tokens, three or four of them,
+  are the combination; groups with a rare token of the prefix need none. The number of groups belongs to a
+  class of sizes, and a set is indexed for its own class and the one below.
+* All sets of a combination are verified with the one that has the fewest rare tokens. In a crowd of near
+  copies that is the text they were made from, and the crowd is joined by as many verifications as it has
+  sets. Only where a combination still holds sets of several components do those outside the first set's
+  component meet all others: pair by pair in small combinations, else in blocks of bounded size, where a
+  matrix product counts common tokens.
 
 Candidates are verified on whole sets. Links become components by label propagation with pointer
 jumping over written tables. Groups stay bounded: a token leaves a task with at most RARE + 1 sets, a
-block of a region has at most BLOCK sets, and each block emits only a spanning forest of its links.
+block has at most BLOCK sets, and each block emits only a spanning forest of its links.
 
 Defined cases: null and empty texts have an empty set, link with nothing and are their own component;
 texts of fewer than five words are one shingle; rows with a null id take part as copies of others but
 have no id to be reached by (component_id is the smallest id with the same set, or null); rows that
-share an id are one node; an empty table gives an empty result; other columns are ignored.
+share an id are one node, all their texts are indexed, and their components are one; an empty table gives
+an empty result; other columns are ignored by join() and kept, whatever their names, by keep_one().
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +41,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, documents, saved
+from .common import SLICE_ROWS, discard, documents, saved, slices, temporary, unused
 
 WIDTH = 5
 THRESHOLD = 80  # per cent
 RARE = 16
 BLOCK = 1024
+#: Sets of a combination up to which its open pairs are verified one by one.
+FEW = 32
 #: Share of the hash range that is indexed: more than the mismatches allowed (20 %) with room for chance.
 SHARE = 0.35
 #: Ids or tokens of which so many may be broadcast (8 bytes each); more go through a join or in slices.
@@ -60,6 +69,15 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def _mixed(a: np.ndarray) -> np.ndarray:
+    """The finaliser of MurmurHash3 on 64-bit integers."""
+    a = a ^ (a >> np.uint64(33))
+    a = a * np.uint64(0xFF51AFD7ED558CCD)
+    a = a ^ (a >> np.uint64(33))
+    a = a * np.uint64(0xC4CEB9FE1A85EC53)
+    return a ^ (a >> np.uint64(33))
+
+
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles. ASCII letters are lower-cased, words end at ASCII white space."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -70,12 +88,7 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     acc = np.full(n, min(len(h), width), np.uint64)
     for i in range(min(len(h), width)):
         acc = acc * _K + h[i : i + n]
-    acc ^= acc >> np.uint64(33)
-    acc *= np.uint64(0xFF51AFD7ED558CCD)
-    acc ^= acc >> np.uint64(33)
-    acc *= np.uint64(0xC4CEB9FE1A85EC53)
-    acc ^= acc >> np.uint64(33)
-    return np.unique(acc)
+    return np.unique(_mixed(acc))
 
 
 def slack(n: int, threshold: int) -> int:
@@ -83,13 +96,56 @@ def slack(n: int, threshold: int) -> int:
     return n - -(-threshold * n // 100)
 
 
-def indexed(tokens: np.ndarray, threshold: int, share: float) -> tuple[np.ndarray, bool]:
-    """The tokens by which a set is indexed, in order, and whether they are all it has."""
-    n = len(tokens)
-    if not n:
-        return tokens, True
-    part = tokens[: np.searchsorted(tokens, np.uint64(int(share * 2**64)))]
-    return (tokens, True) if len(part) < slack(n, threshold) + 2 else (part, False)
+def indexed(tokens: np.ndarray, share: float) -> np.ndarray:
+    """The prefix of tokens by which a set is indexed singly: those in the first part of the hash range."""
+    return tokens[: np.searchsorted(tokens, np.uint64(int(share * 2**64)))]
+
+
+@cache
+def _starts(threshold: int) -> list[int]:
+    return [1]
+
+
+def size_class(n: int, threshold: int) -> int:
+    """Class of a set's size: linked sets lie in one class or in two next to each other."""
+    starts = _starts(threshold)
+    while starts[-1] <= n:
+        starts.append(100 * starts[-1] // threshold + 1)
+    return bisect_right(starts, n) - 1
+
+
+def dealt(level: int, threshold: int) -> tuple[int, int]:
+    """By how many tokens linked sets of a class, or of it and the next, differ at most; and the number of their groups."""
+    starts = _starts(threshold)
+    while len(starts) <= level + 1:
+        starts.append(100 * starts[-1] // threshold + 1)
+    most = starts[level + 1] - 1
+    apart = (most + 100 * most // threshold) * (100 - threshold) // (100 + threshold)
+    return apart, apart + 1 + max(1, -(-apart // 8))
+
+
+def combinations(tokens: np.ndarray, rare: np.ndarray, threshold: int) -> np.ndarray:
+    """Hashes of the token combinations by which a set is indexed. Linked sets that share no rare token share one of them.
+
+    Of a class's groups at most `apart` differ in linked sets. If all equal ones are empty in both, both have so many empty
+    groups that they are indexed by that.
+    """
+    own, out = size_class(len(tokens), threshold), []
+    for level in (own, own - 1):
+        if level < 0:
+            continue
+        apart, groups = dealt(level, threshold)
+        if not apart:  # only equal sets are linked, and those are one set
+            continue
+        place = lambda t: (t >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)  # noqa: B023, E731
+        group = place(tokens)
+        heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        salt = np.uint64((level + 1) * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF)
+        held = np.add.reduceat(_mixed(tokens), heads) + (group[heads] + np.uint64(1)) * _K + salt
+        out.append(_mixed(held[~np.isin(group[heads], place(rare))]))
+        if groups - len(heads) >= groups - apart:
+            out.append(_mixed(np.array([salt], np.uint64)))
+    return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
 # ---------------------------------------------------------------- scans
@@ -97,9 +153,8 @@ def indexed(tokens: np.ndarray, threshold: int, share: float) -> tuple[np.ndarra
 
 def _texts(batches: Iterator[pa.RecordBatch]):
     for b in batches:
-        for i in range(0, b.num_rows, SLICE_ROWS):
-            part = b.slice(i, SLICE_ROWS).to_pydict()
-            yield from zip(part["doc_id"], part["text"], strict=True)
+        for part in slices(b):
+            yield from zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True)
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -108,8 +163,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, SLICE_ROWS):
-                part = b.slice(i, SLICE_ROWS).to_pydict()
+            for part in map(pa.RecordBatch.to_pydict, slices(b)):
                 sets = [shingles(t, width) for t in part["text"]]
                 cols = (part["doc_id"], [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
@@ -151,7 +205,7 @@ def _postings(docs: DataFrame, parts: int, width: int, threshold: int, share: fl
     def run(batches):
         toks, ids, held = [], [], 0
         for doc, text in _texts(batches):
-            mine, _ = indexed(shingles(text, width), threshold, share)
+            mine = indexed(shingles(text, width), share)
             if len(mine):
                 toks.append(mine)
                 ids.append(np.full(len(mine), doc, np.int64))
@@ -194,42 +248,49 @@ def _merged(postings: DataFrame, rare: int) -> DataFrame:
 
 
 def _crowded(docs: DataFrame, frequent: np.ndarray, width: int, threshold: int, share: float, whole: bool) -> DataFrame:
-    """uid, n, toks (the set), marks (its frequent tokens that are indexed), n_indexed, all_indexed.
+    """uid, toks (the set) and marks (those of its prefix that are among the frequent tokens) of sets with too few rare tokens.
 
-    With the whole list of frequent tokens at hand only sets with too few rare tokens are told, with as many marks as needed.
+    Where the frequent tokens are a part of them only, all sets that have some of these are told, too.
     """
     held = docs.sparkSession.sparkContext.broadcast(frequent)
-    out = pa.schema([("uid", pa.int64()), ("n", pa.int64()), ("toks", pa.binary()), ("marks", pa.list_(pa.int64())), ("n_indexed", pa.int64()), ("all_indexed", pa.bool_())])
+    out = pa.schema([("uid", pa.int64()), ("toks", pa.binary()), ("marks", pa.binary())])
 
     def run(batches):
         rows = []
         for doc, text in _texts(batches):
             toks = shingles(text, width)
-            mine, every = indexed(toks, threshold, share)
-            if not len(mine) or not len(held.value):
-                continue
-            at = np.minimum(np.searchsorted(held.value, mine), len(held.value) - 1)
-            marks = mine[held.value[at] == mine]
-            if whole:
-                need = needed(len(toks), len(mine), len(marks), every, threshold)
-                marks = marks[:need]
-            if len(marks):
-                rows.append((doc, len(toks), toks.tobytes(), marks.view(np.int64), len(mine), every))
+            mine = indexed(toks, share)
+            marks = mine[:0]
+            if len(held.value):
+                at = np.minimum(np.searchsorted(held.value, mine), len(held.value) - 1)
+                marks = mine[held.value[at] == mine]
+            if len(toks) and (len(mine) - len(marks) <= slack(len(toks), threshold) or (len(marks) and not whole)):
+                rows.append((doc, toks.tobytes(), marks.tobytes()))
             if len(rows) >= SLICE_ROWS:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
                 rows = []
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
-    return docs.mapInArrow(run, "uid long, n long, toks binary, marks array<long>, n_indexed long, all_indexed boolean")
+    return docs.mapInArrow(run, "uid long, toks binary, marks binary")
 
 
-def needed(n: int, n_indexed: int, n_frequent: int, every: bool, threshold: int) -> int:
-    """How many frequent tokens a set is indexed by: all where it is short, none where its rare ones suffice."""
-    if every:
-        return n_frequent
-    rare = n_indexed - n_frequent
-    return 0 if rare > slack(n, threshold) else min(n_frequent, slack(n, threshold) + 2 - rare)
+def _combined(crowded: DataFrame, threshold: int, share: float) -> DataFrame:
+    """uid, class (of its size), toks, keys (hashes of combinations) and place (few rare tokens first) of sets that rare tokens do not settle."""
+    out = pa.schema([("uid", pa.int64()), ("class", pa.int64()), ("toks", pa.binary()), ("keys", pa.list_(pa.int64())), ("place", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            for part, rows in ((x.to_pydict(), []) for x in slices(b)):
+                for uid, toks, marks in zip(part["uid"], part["toks"], part["marks"], strict=True):
+                    tokens = np.frombuffer(toks, np.uint64)
+                    rare = np.setdiff1d(indexed(tokens, share), np.frombuffer(marks, np.uint64), assume_unique=True)
+                    if len(rare) <= slack(len(tokens), threshold):
+                        rows.append((uid, size_class(len(tokens), threshold), toks, combinations(tokens, rare, threshold), (len(rare) << 40) + (hash(uid) * 0x9E3779B1 & 0xFFFFFFFFFF)))
+                cols = zip(*rows, strict=True) if rows else [[]] * len(out)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
+
+    return crowded.mapInArrow(run, "uid long, class long, toks binary, keys array<long>, place long")
 
 
 # ---------------------------------------------------------------- links
@@ -251,8 +312,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) -> Da
     def run(batches):
         kept: tuple = (None, None)
         for batch in batches:
-            for i in range(0, batch.num_rows, SLICE_ROWS):
-                part, good = batch.slice(i, SLICE_ROWS).to_pydict(), []
+            for part, good in ((x.to_pydict(), []) for x in slices(batch)):
                 for a, b, x, y in zip(part["a"], part["b"], part["text_a"], part["text_b"], strict=True):
                     if kept[0] != (b, y):
                         kept = ((b, y), shingles(y, width))
@@ -266,107 +326,162 @@ def _linked(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) -> Da
     return both.mapInArrow(run, "a long, b long")
 
 
-def _block_links(ids: np.ndarray, sets: list[np.ndarray], threshold: int) -> np.ndarray:
-    """A spanning forest of the links among a bounded number of sets."""
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), sizes)
+def _verified(pairs: DataFrame, crowded: DataFrame, threshold: int) -> DataFrame:
+    """Those of pairs(a, b) of crowded sets that reach the threshold. pairs must be a written table: one set may be in many."""
+    left = pairs.join(crowded.select(F.col("uid").alias("a"), F.col("toks").alias("toks_a")), "a")
+    both = left.join(crowded.select(F.col("uid").alias("b"), F.col("toks").alias("toks_b")), "b").select("a", "b", "toks_a", "toks_b")
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            for part, good in ((p.to_pydict(), []) for p in slices(b)):
+                for x, y, s, t in zip(part["a"], part["b"], part["toks_a"], part["toks_b"], strict=True):
+                    common = len(np.intersect1d(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), assume_unique=True))
+                    if 100 * common >= threshold * ((len(s) + len(t)) // 8 - common):
+                        good.append((x, y))
+                cols = zip(*good, strict=True) if good else [[], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=out)
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _block_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]], threshold: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between two bounded lists of (id, set)."""
+    both = left + right
+    sizes = np.fromiter((len(s) for _, s in both), np.int64, len(both))
+    _, column, seen = np.unique(np.concatenate([s for _, s in both]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(both)), sizes)
     shared = seen[column] > 1
     row, (_, column) = row[shared], np.unique(column[shared], return_inverse=True)
-    common = np.zeros((len(sets), len(sets)), np.float32)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
+    n = len(left)
+    common = np.zeros((n, len(right)), np.float32)
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
         a, b = np.searchsorted(column, [at, at + 4096])
-        m = np.zeros((len(sets), 4096), np.float32)
+        m = np.zeros((len(both), 4096), np.float32)
         m[row[a:b], column[a:b] - at] = 1
-        common += m @ m.T
-    linked = 100 * common >= threshold * (sizes[:, None] + sizes[None, :] - common)
-    label = np.arange(len(sets))
+        common += m[:n] @ m[n:].T
+    linked = 100 * common >= threshold * (sizes[:n, None] + sizes[None, n:] - common)
+    label = np.arange(n)
     while True:
-        low = np.minimum(label, np.where(linked, label[None, :], len(sets)).min(1))
-        low = low[low]
+        theirs = np.where(linked, label[:, None], n).min(0)
+        low = np.minimum(label, np.where(linked, theirs[None, :], n).min(1))
         if (low == label).all():
-            return np.stack([ids[label], ids], 1)[label != np.arange(len(sets))]
+            break
         label = low
+    links = [(left[k][0], left[i][0]) for i, k in enumerate(label) if k != i]
+    return links + [(left[k][0], right[j][0]) for j, k in enumerate(theirs) if k < n and left[k][0] != right[j][0]]
 
 
-def _region_links(crowded: DataFrame, threshold: int, block: int) -> DataFrame:
-    """a, b: links among sets that share frequent tokens, as spanning forests of blocks."""
-    marks = crowded.select("uid", F.explode("marks").alias("token"))
-    hub = marks.groupBy("token").agg(F.min("uid").alias("hub"), F.max("uid").alias("top")).where("hub < top").drop("top")
-    ties = marks.join(hub, "token").where("uid <> hub").select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct()
-    region = components(saved(ties, "ties"))
-    rows = crowded.join(region.withColumnRenamed("id", "uid"), "uid").select("uid", "n", "toks", F.col("component").alias("region"))
-    # sizes of linked sets lie in one class or in two next to each other: a set goes to the group of its class and to the one below
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / threshold)) + 1e-9)
-    rows = saved(rows.withColumn("class", step), "regions")
-    grouped = rows.select("uid", "region", F.explode(F.array("class", F.col("class") - 1)).alias("g"))
-    counted = grouped.groupBy("region", "g").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    cells = grouped.join(counted, ["region", "g"]).withColumn("k", F.ceil(F.col("c") / (block / 2)).cast("long"))
-    own = F.pmod(F.xxhash64("uid"), F.col("k"))
-    cells = cells.withColumn("own", own).select("uid", "region", "g", F.col("own"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    cells = cells.select("uid", "region", "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    full = cells.join(rows.select("uid", "toks"), "uid")
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _open_links(members: DataFrame, mixed: DataFrame, crowded: DataFrame, threshold: int, block: int) -> DataFrame:
+    """a, b: links between the sets outside a combination's first component and all its sets, as spanning forests of blocks.
+
+    members(uid, key, label), mixed(key, top, main). Combinations with sets in common are joined once, as one region.
+    """
+    told = saved(members.join(mixed, "key").select("uid", "top", (F.col("label") != F.col("main")).alias("out")).groupBy("uid", "top").agg(F.max("out").alias("out")), "open")
+    region = components(saved(told.where("uid <> top").select(F.col("top").alias("a"), F.col("uid").alias("b")), "ties"))
+    sides = told.groupBy("uid").agg(F.max("out").alias("out")).join(region.select(F.col("id").alias("uid"), "component"), "uid").join(crowded.select("uid", "class"), "uid")
+    # linked sizes lie in one class or in two next to each other: a set goes to the group of its class and to the one below
+    sides = saved(sides.select("uid", "out", F.col("component").alias("region"), F.explode(F.array("class", F.col("class") - 1)).alias("g")), "sides")
+    half = block // 2
+    counted = sides.groupBy("region", "g").agg(F.ceil(F.count_if("out") / half).cast("int").alias("k_out"), F.ceil(F.count(F.lit(1)) / half).cast("int").alias("k_all")).where("k_out > 0")
+    cells = sides.join(saved(counted, "counted"), ["region", "g"])
+    deal = lambda k: F.pmod(F.xxhash64("uid"), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    inner = cells.select("uid", "region", "g", F.lit(False).alias("out"), every("k_out").alias("i"), deal("k_all").alias("j"))
+    outer = cells.where("out").select("uid", "region", "g", "out", deal("k_out").alias("i"), every("k_all").alias("j"))
+    full = saved(inner.unionByName(outer), "cells").join(crowded.select("uid", "toks"), "uid")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        links = _block_links(np.array(table["uid"].to_pylist(), np.int64), [np.frombuffer(x, np.uint64) for x in table["toks"].to_pylist()], threshold)
-        return pa.Table.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], schema=out)
+        sides: tuple[list, list] = ([], [])
+        for uid, out, toks in zip(table["uid"].to_pylist(), table["out"].to_pylist(), table["toks"].to_pylist(), strict=True):
+            sides[0 if out else 1].append((uid, np.frombuffer(toks, np.uint64)))
+        links = _block_links(*sides, threshold) if sides[0] and sides[1] else []
+        return pa.Table.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], schema=schema)
 
     return full.groupBy("region", "g", "i", "j").applyInArrow(run, "a long, b long")
 
 
+def _crowd_links(crowded: DataFrame, threshold: int, block: int, few: int) -> DataFrame:
+    """a, b: links that join all linked sets that share a combination, directly or by way of others."""
+    flat = crowded.select("uid", "place", F.explode("keys").alias("key"))
+    tops = saved(flat.groupBy("key").agg(F.min_by("uid", "place").alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1"), "tops")
+    stars = saved(flat.join(tops, "key").where("uid <> top").select(F.col("top").alias("a"), F.col("uid").alias("b")).distinct(), "stars")
+    links = saved(_verified(stars, crowded, threshold), "star-links")
+    label = components(links).select(F.col("id").alias("uid"), "component")
+    labelled = saved(crowded.join(label, "uid", "left").select("uid", "keys", F.coalesce("component", "uid").alias("label")), "labelled")
+    members = labelled.select("uid", "label", F.explode("keys").alias("key"))
+    main = labelled.select(F.col("uid").alias("top"), F.col("label").alias("main"))
+    spread = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    mixed = saved(tops.join(spread, "key").join(main, "top"), "mixed")
+    small = members.join(mixed.where(F.col("c") <= few).select("key"), "key")
+    pairs = small.select("key", F.col("uid").alias("a"), F.col("label").alias("la")).join(small.select("key", F.col("uid").alias("b"), F.col("label").alias("lb")), "key")
+    links = links.unionAll(_verified(saved(pairs.where("a < b and la <> lb").select("a", "b").distinct(), "few"), crowded, threshold))
+    large = mixed.where(F.col("c") > few)
+    if large.limit(1).count():
+        links = links.unionAll(_open_links(members, large.select("key", "top", "main"), crowded, threshold, block))
+    return links
+
+
 def components(links: DataFrame) -> DataFrame:
-    """id, component (smallest id reachable) of every id in links(a, b), which must be a written table."""
+    """id, component (smallest id reachable) of every id in links(a, b), which must be a written table. A written table."""
     both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     edges = saved(both, "edges")
     label = saved(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "labels")
     while True:
-        near = edges.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        near = edges.join(label.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         low = label.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("low"))
         jump = label.select(F.col("id").alias("low"), F.col("component").alias("lower"))
-        nxt = saved(low.join(jump, "low").select("id", "old", F.least("low", "lower").alias("component")), "labels")
+        nxt = saved(low.join(jump, "low").select("id", F.least("low", "lower").alias("component"), "old"), "labels")
         done = nxt.where("component <> old").limit(1).count() == 0
-        label = nxt.select("id", "component")
+        discard(label)
         if done:
-            return label
+            discard(edges)
+            return nxt
+        label = nxt
 
 
-def join(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, rare: int = RARE, block: int = BLOCK, share: float = SHARE) -> DataFrame:
+def join(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, rare: int = RARE, block: int = BLOCK, share: float = SHARE, few: int = FEW) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = saved(_sets(docs, width), "sets")
-    first = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("uid"), F.count(F.lit(1)).alias("c"))
-    again = saved(sets.join(first.where("c > 1"), "digest").select("doc_id", "uid"), "copies")
-    copies = saved(again.where("doc_id <> uid").select("doc_id").distinct(), "copy-ids")
-    own = _only(docs.where("doc_id is not null"), copies, "left_anti", copies.count())
-
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-int(total * share) // _PART_TOKENS))
-    merged = saved(_merged(_postings(own, parts, width, threshold, share, rare), rare), "merged")
-    sizes = sets.where("doc_id is not null").groupBy("doc_id").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    near = merged.where("a is not null").select("a", "b").distinct()
-    near = near.join(sizes.selectExpr("doc_id as a", "low as la", "high as ha"), "a").join(sizes.selectExpr("doc_id as b", "low as lb", "high as hb"), "b")
-    near = near.where(f"100 * hb >= {threshold} * la and 100 * ha >= {threshold} * lb").select("a", "b")
-    links = _linked(saved(near, "candidates"), docs, width, threshold)
-
-    lists = merged.where("frequent is not null and octet_length(frequent) > 0").select("frequent")
-    n_frequent = lists.agg(F.sum(F.octet_length("frequent") / 8)).first()[0] or 0
-    if n_frequent:
-        links = links.unionAll(_region_links(saved(_all_crowded(own, lists, n_frequent, width, threshold, share), "crowded"), threshold, block))
-    found = components(saved(links, "links"))
+    with temporary() as keep:
+        sets = saved(_sets(docs, width), "sets")
+        # joins on keys that copies make hot: the other side is a written table, so that Spark can split the hot side
+        first = saved(sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("uid"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("digest").alias("_d"), "uid"), "first")
+        worded = sets.where("n > 0").join(first, F.col("digest") == F.col("_d"), "left").select("doc_id", "n", F.coalesce("uid", "doc_id").alias("node"))
+        rows = keep(saved(worded.unionAll(sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("node"))), "rows"))
+        own = F.max((F.col("doc_id") == F.col("node")).cast("int")).alias("own")
+        ids = saved(rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("node").alias("one"), F.max("node").alias("other"), own), "by-id")
+        copies = ids.where("own = 0").select("doc_id")
+        indexed_docs = _only(docs.where("doc_id is not null"), copies, "left_anti", copies.count())
+
+        total = rows.agg(F.sum("n")).first()[0] or 0
+        parts = max(1, -(-int(total * share) // _PART_TOKENS))
+        merged = saved(_merged(_postings(indexed_docs, parts, width, threshold, share, rare), rare), "merged")
+        near = merged.where("a is not null").select("a", "b").distinct()
+        near = near.join(ids.selectExpr("doc_id as a", "low as la", "high as ha"), "a").join(ids.selectExpr("doc_id as b", "low as lb", "high as hb"), "b")
+        near = near.where(f"100 * hb >= {threshold} * la and 100 * ha >= {threshold} * lb").select("a", "b")
+        links = _linked(saved(near, "candidates"), docs, width, threshold)
+
+        lists = merged.where("frequent is not null and octet_length(frequent) > 0").select("frequent")
+        n_frequent = lists.agg(F.sum(F.octet_length("frequent") / 8)).first()[0] or 0
+        crowded = saved(_combined(_all_crowded(indexed_docs, lists, n_frequent, width, threshold, share), threshold, share), "crowded")
+        links = links.unionAll(_crowd_links(crowded, threshold, block, few))
+        tied = ids.where("one < other").select("doc_id", "one")
+        if tied.limit(1).count():  # ids on rows with different texts
+            links = links.unionAll(rows.join(tied, "doc_id").where("node <> one").select(F.col("one").alias("a"), F.col("node").alias("b")).distinct())
+        found = keep(components(saved(links, "links")))
 
     # copies of a set, and ids that share a row with another set, meet at the set's first id
-    node = F.coalesce(F.col("uid"), F.col("doc_id"))
-    placed = sets.join(first.withColumnRenamed("digest", "_g"), F.col("digest") == F.col("_g"), "left")
-    placed = placed.select("doc_id", "n", node.alias("node")).join(found.withColumnRenamed("id", "node"), "node", "left")
+    placed = rows.join(found.select(F.col("id").alias("node"), "component"), "node", "left")
     return placed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
 
 
 def _all_crowded(docs: DataFrame, lists: DataFrame, n: float, width: int, threshold: int, share: float) -> DataFrame:
     if n <= BROADCAST:
-        tokens = np.sort(np.concatenate([np.frombuffer(r.frequent, np.uint64) for r in lists.collect()]))  # at most BROADCAST tokens
+        tokens = np.sort(np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(r.frequent, np.uint64) for r in lists.collect()]]))  # at most BROADCAST
         return _crowded(docs, tokens, width, threshold, share, whole=True)
     # too many to send at once: in slices by token, each a pass, and the marks of a set put together
     slices = int(n // (BROADCAST // 2)) + 1
@@ -387,35 +502,42 @@ def _all_crowded(docs: DataFrame, lists: DataFrame, n: float, width: int, thresh
         if rows:
             part = _crowded(docs, np.sort(np.concatenate([np.frombuffer(r.frequent, np.uint64) for r in rows])), width, threshold, share, whole=False)
             scans = part if scans is None else scans.unionAll(part)
-    marks = F.transform(F.array_sort(F.transform(F.flatten(F.collect_list("marks")), lambda x: x.bitwiseXOR(F.lit(-(2**63))))), lambda x: x.bitwiseXOR(F.lit(-(2**63))))
-    whole = saved(scans, "marks").groupBy("uid", "n", "toks", "n_indexed", "all_indexed").agg(marks.alias("marks"))
-    missing = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") / 100)
-    rare = F.col("n_indexed") - F.size("marks")
-    need = F.when(F.col("all_indexed"), F.size("marks")).when(rare > missing, 0).otherwise(F.least(F.size("marks"), missing + 2 - rare))
-    return whole.withColumn("marks", F.slice("marks", F.lit(1), need.cast("int"))).where("size(marks) > 0").select("uid", "n", "toks", "marks", "n_indexed", "all_indexed")
+    return saved(scans, "marks").groupBy("uid", "toks").agg(F.array_join(F.transform(F.collect_list("marks"), F.hex), "").alias("marks")).select("uid", "toks", F.unhex("marks").alias("marks"))
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """One row of each group of near duplicates: the smallest id's, of repeated rows any one; all columns as they were.
+    """One row of each group of near duplicates, all columns as they were: that with the smallest id (a null one only where
+    no row of the group has an id), of rows with that id and different texts that with the smallest hash.
 
-    Rows without words are no one's duplicates and stay, as do rows without an id unless they copy one with an id.
+    Groups are formed over texts: rows that share an id but not a group are judged apart. Of rows with equal ids and texts
+    one stays, the first in the order of all columns. Rows without words are no one's duplicates and stay.
     """
-    found = join(docs, threshold, width)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    orphans = found.where("doc_id is null and component_id is not null").limit(1).count()
-    rows = docs.join(gone, "doc_id", "left_anti")
-    if orphans:
-        rows = rows.where("doc_id is not null").unionByName(_orphans(docs, width))
-    real = rows.where("doc_id is not null")
-    many = real.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again = real.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return real.join(many, "doc_id", "left_anti").unionByName(again.select(*real.columns)).unionByName(rows.where("doc_id is null"))
-
-
-def _orphans(docs: DataFrame, width: int) -> DataFrame:
-    """Rows without an id whose text, as it stands, no row with an id has."""
-    texts = docs.where("doc_id is not null and text is not null").select(F.sha2("text", 256).alias("_h")).distinct()
-    return docs.where("doc_id is null").withColumn("_h", F.sha2("text", 256)).join(texts, "_h", "left_anti").drop("_h")
+    odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
+    name = unused("key", docs.columns)
+    if not odd:  # an id is a row: the smallest id of a group is its component
+        with temporary() as keep:
+            found = join(docs, threshold, width)
+            gone = keep(saved(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)), "gone"))
+        return _without(docs, gone, F.col("doc_id").cast("long") == F.col(name))
+    key = F.xxhash64("doc_id", "text")
+    with temporary() as keep:
+        rows = saved(join(docs.select(key.alias("doc_id"), "text"), threshold, width).where("n_shingles > 0").select(F.col("doc_id").alias("k"), F.col("component_id").alias("c")), "grouped")
+        nodes = rows.distinct()
+        members = saved(nodes.join(saved(nodes.where("k <> c").select("c").distinct(), "groups"), "c"), "members")
+        ids = docs.select(key.alias("k"), F.col("doc_id").alias("id")).join(members, "k")
+        stay = saved(ids.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("first")).select("c", F.col("first.k").alias("stay")), "stay")
+        gone = keep(saved(members.join(stay, "c").where("k <> stay").select(F.col("k").alias(name)), "gone"))
+        again = keep(saved(rows.groupBy("k").count().where("count > 1").select(F.col("k").alias(name)), "again"))
+    left = _without(docs, gone, key == F.col(name))
+    single, many = left.join(again, key == F.col(name), "left_anti"), left.join(again, key == F.col(name), "left_semi")
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.struct(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    one = many.groupBy(key.alias(name)).agg(F.min_by(F.struct(*cols), order).alias("row")).select("row.*")
+    return single.unionByName(one)
+
+
+def _without(docs: DataFrame, gone: DataFrame, same) -> DataFrame:
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST else gone, same, "left_anti")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

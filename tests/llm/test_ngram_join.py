@@ -47,7 +47,7 @@ def brute(rows: list[tuple]) -> list[tuple]:
             return sorted((i, len(sets[i]), label[i]) for i in ids)
 
 
-@pytest.mark.parametrize("seed,how", [(1, {}), (2, {"rare": 3, "block": 8}), (3, {"rare": 2, "block": 6, "slices": True})])
+@pytest.mark.parametrize("seed,how", [(1, {}), (2, {"rare": 3, "block": 8, "few": 4}), (3, {"rare": 2, "block": 6, "few": 2, "slices": True}), (4, {"rare": 1, "block": 16, "few": 1})])
 def test_equals_all_pairs(spark, monkeypatch, seed, how):
     if how.pop("slices", False):  # what is too large to broadcast
         monkeypatch.setattr(J, "BROADCAST", 4)
@@ -75,21 +75,63 @@ def test_every_linked_pair_shares_an_index_entry():
         met += 1
         share = r.random()
         frequent = set(np.concatenate([x, y])[r.random(len(x) + len(y)) < share].tolist())
-        kept = []
+        rare, keys, few = [], [], []
         for s in (x, y):
-            mine, every = J.indexed(s, 80, J.SHARE)
-            marks = [t for t in mine.tolist() if t in frequent]
-            need = J.needed(len(s), len(mine), len(marks), every, 80)
-            kept.append(({t for t in mine.tolist() if t not in frequent}, set(marks[:need])))
-        assert kept[0][0] & kept[1][0] or len(kept[0][1] & kept[1][1]) >= 2
+            mine = J.indexed(s, J.SHARE)
+            rare.append(np.array([t for t in mine.tolist() if t not in frequent], np.uint64))
+            keys.append(set(J.combinations(s, rare[-1], 80).tolist()))
+            few.append(len(rare[-1]) <= J.slack(len(s), 80))
+        assert set(rare[0].tolist()) & set(rare[1].tolist()) or (all(few) and keys[0] & keys[1])
     assert met > 2000
 
 
+def test_size_classes_hold_linked_sizes():
+    for n in range(1, 5000):
+        a, b = J.size_class(n, 80), J.size_class(100 * n // 80, 80)
+        assert a <= b <= a + 1
+        apart, groups = J.dealt(a, 80)
+        assert apart >= (n + 100 * n // 80) // 9 and groups > apart
+
+
+def test_a_crowd_is_joined_by_its_middle(spark):
+    """Twice and four times as many near copies of one text need twice and four times as many verifications, and no blocks."""
+    r = random.Random(5)
+    base = [f"{r.random()}" for _ in range(120)]
+    done = []
+    for n in (100, 200, 400):
+        rows = [(0, " ".join(base))]
+        for i in range(1, n):
+            t = list(base)
+            t[r.randrange(120)] = f"x{i}"
+            rows.append((i, " ".join(t)))
+        seen = []
+        real, J._verified = J._verified, lambda pairs, *a, f=J._verified: (seen.append(pairs.count()), f(pairs, *a))[1]
+        blocks, J._open_links = J._open_links, None
+        try:
+            got = J.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        finally:
+            J._verified, J._open_links = real, blocks
+        assert {x.component_id for x in got} == {0}
+        done.append(sum(seen) / n)
+    assert max(done) < 12 and done[2] < 1.5 * done[0] + 1
+
+
+def test_ids_on_rows_with_different_texts(spark):
+    a, b, c = " ".join(WORDS[:50]), " ".join(WORDS[100:150]), " ".join(WORDS[200:250])
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b + " tail"), (8, c)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in J.join(docs).collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (7, 3), (8, 8)]
+    assert sorted((r.doc_id, r.text) for r in J.keep_one(docs).collect()) == [(3, a), (5, b), (8, c)]
+
+
 def test_rows_that_are_kept(spark):
     a, b = " ".join(WORDS[:50]), " ".join(WORDS[100:150])
-    rows = [(5, a, "x"), (2, a + " tail", "y"), (5, a, "x"), (9, b, None), (None, b, "z"), (None, "alone here", "z"), (11, None, "q"), (12, None, "q"), (13, "", None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    rows = [(5, a, "x"), (2, a + " tail", "y"), (5, a, "w"), (9, b, None), (None, b, "z"), (None, "alone here", "z"), (11, None, "q"), (12, None, "q"), (13, "", None), (14, c := " ".join(WORDS[300:320]), "f"), (14, c, "e"), (None, b.upper(), "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "doc_id as _h", "text as key", "1 as key_", "source as row")
     kept = J.keep_one(docs)
     assert kept.columns == docs.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter([2, 9, None, 11, 12, 13])
+    got = kept.collect()
+    assert Counter(r.doc_id for r in got) == Counter([2, 9, None, 11, 12, 13, 14])
+    assert [r.source for r in got if r.doc_id == 14] == ["e"] and all(r.text == r.key for r in got)
+    assert sorted(J.keep_one(docs.where("doc_id in (2, 9, 11, 12)")).columns) == sorted(docs.columns)
     assert J.keep_one(docs.limit(0)).count() == 0 and J.join(docs.limit(0)).count() == 0
