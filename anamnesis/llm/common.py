@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows that Python turns into objects at once, and bytes of their texts (a single longer text goes alone).
 SLICE_ROWS = 128
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 #: Rows where a slice goes to a tokenizer, which gains from repeated words.
 ENCODED = 1024
 
@@ -122,6 +122,22 @@ def arrow_map(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict[s
     return df.mapInArrow(run, schema)
 
 
+def arrow_add(df: DataFrame, read: str, added: str, fn: Callable[[list], list[list]], rows: int = SLICE_ROWS) -> DataFrame:
+    """df with further columns that fn makes from the values of the column `read`; the other columns never become Python objects."""
+    kind = T.StructType(df.schema.fields + T._parse_datatype_string(added).fields)
+    out, at = to_arrow_schema(kind), df.columns.index(read)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, rows):
+                made = fn(part.column(at).to_pylist())
+                cols = [c if c.type == f.type else c.cast(f.type) for c, f in zip(part.columns, out, strict=False)]
+                cols += [pa.array(x, f.type) for x, f in zip(made, list(out)[len(cols) :], strict=True)]
+                yield pa.RecordBatch.from_arrays(cols, schema=out)
+
+    return df.mapInArrow(run, kind)
+
+
 def fold_of(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 3; fold 1 is held out. A null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3

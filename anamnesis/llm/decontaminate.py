@@ -27,7 +27,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, documents
+from .common import arrow_add, arrow_map, documents, unused
 
 #: Share of an item's own BM25 score from which a passage is retrieved.
 THRESHOLD = 0.6
@@ -249,23 +249,21 @@ def find_matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block: int = INDEX_ITEMS) -> DataFrame:
     """The rows of docs in which no item is verified, all columns as they were; decided row by row, without a join."""
-    spark, names = docs.sparkSession, docs.columns
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "text")
-    row_type = out.schema["_row"].dataType.simpleString()
+    spark, names, out = docs.sparkSession, docs.columns, docs
+    name = unused("clean", names)
     for indexes in build_indexes(items, threshold, block):
         held = spark.sparkContext.broadcast((indexes, rare_words(indexes)))
 
-        def run(rows: dict[str, list], held=held) -> dict[str, list]:
+        def run(texts: list, held=held) -> list[list]:
             good, (all_indexes, rare) = [], held.value
-            for i, t in enumerate(rows["text"]):
+            for t in texts:
                 words = words_of(t)
                 hits = [(k, w) for k, w in enumerate(words) if w in rare]
-                if not any(x.matches(words, hits) for x in all_indexes):
-                    good.append(i)
-            return {c: [rows[c][i] for i in good] for c in ("_row", "text")}
+                good.append(not any(x.matches(words, hits) for x in all_indexes))
+            return [good]
 
-        out = arrow_map(out, f"_row {row_type}, text string", run)
-    return out.select("_row.*")
+        out = arrow_add(out, "text", f"{name} boolean", run).where(F.col(name)).select(*[F.col(f"`{c}`") for c in names])
+    return out
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Quality rules as a bitmask ledger (operator 9).
 
 Every rule is evaluated once per document. The ledger keeps the measurements and one failure bit per
-rule, so that policies (versioned masks) and ablations are bit arithmetic over the ledger and never
-read a text again.
+rule, so that policies (versioned masks) and ablations are bit arithmetic over the written ledger and
+never read a text again.
 
 Defined cases: a null text has no words; null ids pass through; repeated rows are judged one by one;
-an empty table gives an empty ledger; other columns of the input are ignored, whatever their names.
+an empty table gives an empty ledger; other columns of the input are ignored by ledger(), whatever their
+names, and kept by keep_good().
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_add, arrow_map, saved, unused
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 SYMBOLS = "#*$%&|<>"
@@ -87,20 +88,35 @@ def measure(text: str | None) -> tuple[int, ...]:
     return (n, len(text.translate(_NO_SPACE)), len(text) - len(text.translate(_ONLY_SYMBOLS)), len(lines), len(lines) - len(set(lines)), repeated)
 
 
-def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, the measurements and fail_bits of every row of docs(doc_id, text)."""
+def _bits(rules: tuple[Rule, ...]) -> Column:
+    bits = [F.when(F.expr(r.fails), F.lit(r.mask)).otherwise(F.lit(0)).cast("long") for r in rules]
+    total = F.lit(0).cast("long")
+    for b in bits:
+        total = total.bitwiseOR(b)
+    return total
 
-    def run(rows: dict[str, list]) -> dict[str, list]:
-        got = list(zip(*map(measure, rows["text"]), strict=True)) or [[]] * len(MEASURES)
-        return {"doc_id": rows["doc_id"], **dict(zip(MEASURES, got, strict=True))}
 
+def _columns(texts: list[str | None]) -> list[list]:
+    return [list(c) for c in zip(*map(measure, texts), strict=True)] or [[] for _ in MEASURES]
+
+
+def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, the measurements and fail_bits of every row of docs(doc_id, text)."""
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES)
-    bits = [F.when(F.expr(r.fails), F.lit(r.mask)).otherwise(F.lit(0)).cast("long") for r in rules]
-    total = bits[0]
-    for b in bits[1:]:
-        total = total.bitwiseOR(b)
-    return arrow_map(docs.select("doc_id", "text"), schema, run).withColumn("fail_bits", total)
+    run = lambda rows: {"doc_id": rows["doc_id"], **dict(zip(MEASURES, _columns(rows["text"]), strict=True))}
+    return arrow_map(docs.select("doc_id", "text"), schema, run).withColumn("fail_bits", _bits(rules))
+
+
+def row_ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger with the rows it belongs to: row (a struct of all columns of docs), the measurements and fail_bits.
+
+    Once written, a policy or an ablation reads its few columns only, and the rows a policy keeps need no join.
+    """
+    names = {m: unused(m, docs.columns) for m in MEASURES}
+    told = arrow_add(docs, "text", ", ".join(f"{n} long" for n in names.values()), _columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return told.select(row, *[F.col(n).alias(m) for m, n in names.items()]).withColumn("fail_bits", _bits(rules))
 
 
 def failed(policy: Policy, bits: str = "fail_bits") -> Column:
@@ -130,26 +146,15 @@ def union_of_failures(led: DataFrame, *keys: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """The rows of docs that the policy keeps, all columns as they were (measured in place: no join)."""
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id"), F.col("text"))
-    row_type = packed.schema["_row"].dataType.simpleString()
-
-    def run(rows: dict[str, list]) -> dict[str, list]:
-        got = list(zip(*map(measure, rows["text"]), strict=True)) or [[]] * len(MEASURES)
-        return {"_row": rows["_row"], **dict(zip(MEASURES, got, strict=True))}
-
-    out = arrow_map(packed, f"_row {row_type}, " + ", ".join(f"{m} long" for m in MEASURES), run)
-    for r in RULES:
-        if r.name in policy.rules:
-            out = out.where(~F.expr(r.fails))
-    return out.select("_row.*")
+    """The rows of docs that the policy keeps, all columns as they were, by the bits of the written ledger."""
+    return saved(row_ledger(docs), "quality-ledger").where(~failed(policy)).select("row.*")
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """The ledger is written once; two versions of the policy are read from its bits."""
     from .common import documents
 
-    led = verdicts(ledger(documents(spark, sf_dir)))
+    led = verdicts(saved(ledger(documents(spark, sf_dir)), "quality-ledger"))
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed(BASE).alias("base_failed"), "kept", "fail_bits")
 
 

@@ -20,7 +20,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, documents
+from .common import arrow_add, arrow_map, documents, unused
 
 #: In the order that breaks ties of equal starts. The first three are the base kinds.
 KINDS = ("assign", "access", "hex", "github", "npm")
@@ -134,14 +134,13 @@ def masked(text: str | None) -> str | None:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with secrets masked in text and, where there is such a column, n_chars counted again. No row goes."""
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "text")
-    row_type = packed.schema["_row"].dataType.simpleString()
-    out = arrow_map(packed, f"_row {row_type}, _text string", lambda rows: {"_row": rows["_row"], "_text": [masked(t) for t in rows["text"]]})
-    cols = {c: F.col(f"_row.`{c}`") for c in names} | {"text": F.col("_text")}
+    name = unused("masked", docs.columns)
+    out = arrow_add(docs, "text", f"{name} string", lambda texts: [[masked(t) for t in texts]])
+    new = F.col(name)
+    cols = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": new}
     if "n_chars" in cols:
         kind = dict(docs.dtypes)["n_chars"]
-        cols["n_chars"] = F.when(F.col("_text") == F.col("_row.text"), cols["n_chars"]).otherwise(F.length("_text").cast(kind))
+        cols["n_chars"] = F.when(new == F.col("text"), F.col("n_chars")).otherwise(F.length(new).cast(kind))
     return out.select(*[v.alias(c) for c, v in cols.items()])
 
 
