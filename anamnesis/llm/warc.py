@@ -17,7 +17,6 @@ import gzip
 import json
 import re
 import struct
-import tempfile
 import zlib
 from collections.abc import Iterator
 
@@ -26,10 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, shared_dir
+from .common import saved, shared_dir, slices
 from .token_store import opened
 
 MIN_REVISIT_BYTES = 1000
+#: A package ends at so many bytes or records, which bounds its index, too.
+PACKAGE_BYTES, PACKAGE_RECORDS = 1 << 30, 250_000
+#: Repeated digests (20 bytes and an id each) of which so many may be broadcast; more go through a join.
+BROADCAST = 500_000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _ID = "urn:page:"
 _DATE = "1970-01-01T00:00:00Z"  # the pages carry no capture time
@@ -177,51 +180,75 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def marked(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """page_id, url, payload, digest, payload_bytes, record_type, refers_to. The largest id of each payload by a
-    partial aggregate; the join back by digest is one that Spark can split where a payload is hot."""
+    """page_id, url, payload, digest, payload_bytes, record_type, refers_to.
+
+    The largest id of each repeated payload is counted by digest and written. It goes to the pages, so that no payload is
+    shuffled; only where there are too many repeated payloads for that, the pages of at least min_bytes are joined by digest,
+    which Spark can split where a payload is hot.
+    """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", body.alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
-    narrow = pages.select("page_id", F.sha1(body).alias("_d"), F.octet_length(body).alias("_n")).where(F.col("_n") >= min_bytes)
-    first = narrow.groupBy("_d").agg(F.max("page_id").alias("_first"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
-    joined = rows.join(first, (F.col("digest") == F.col("_d")) & (F.col("payload_bytes") >= min_bytes), "left")
+    narrow = pages.select("page_id", F.unhex(F.sha1(body)).alias("_d"), F.octet_length(body).alias("_n")).where(F.col("_n") >= min_bytes)
+    first = saved(narrow.groupBy("_d").agg(F.max("page_id").alias("_first"), F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_d", "_first"), "warc-first")
+    same = F.unhex("digest") == F.col("_d")
+    if first.count() <= BROADCAST:
+        joined = rows.join(F.broadcast(first), same, "left")
+    else:
+        joined = rows.where(F.col("payload_bytes") >= min_bytes).join(first, same, "left").unionByName(rows.where(F.col("payload_bytes") < min_bytes), allowMissingColumns=True)
     again = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     return joined.select("page_id", "url", "payload", "digest", "payload_bytes", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_first")).alias("refers_to"))
 
 
+class PackageWriter:
+    def __init__(self, uri: str) -> None:
+        self.fs, self.path = opened(uri)
+        self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
+        # each attempt writes a file of its own; the last to end gives the package its name
+        self.temp = f"{self.path}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}.part"
+        self.uri, self.zip, self.index, self.n = uri, StoredZip(self.fs.open_output_stream(self.temp)), bytearray(), 0
+        self.zip.begin(DATA)
+
+    def add(self, page_id: int | None, raw: bytes) -> None:
+        self.index += json.dumps({"offset": self.zip.members[0][3], "length": len(raw), "id": page_id}).encode() + b"\n"
+        self.zip.add(raw)
+        self.n += 1
+
+    def full(self) -> bool:
+        return self.n >= PACKAGE_RECORDS or self.zip.at >= PACKAGE_BYTES
+
+    def close(self) -> tuple[str, int]:
+        self.zip.end()
+        self.zip.begin(INDEX)
+        self.zip.add(bytes(self.index))
+        self.zip.end()
+        self.zip.close()
+        self.zip.out.close()
+        self.fs.move(self.temp, self.path)
+        return self.uri, self.n
+
+
 def write_packages(pages: DataFrame, out: str | None = None, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """Write pages(page_id, url, html) as ZIP packages; returns package, uri and n_records of each."""
     out = out or shared_dir(pages.sparkSession, "warc")
     schema = pa.schema([("package", pa.int64()), ("uri", pa.string()), ("n_records", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ctx, z, n = TaskContext.get(), None, 0
-        uri = f"{out}/package-{ctx.partitionId():06d}.wacz"
-        fs, path = opened(uri)
-        temp = f"{path}.{ctx.taskAttemptId()}.part"
-        with tempfile.TemporaryFile() as index:  # of this task only, and gone with it
-            for b in batches:
-                for i in range(0, b.num_rows, SLICE_ROWS):
-                    for r in b.slice(i, SLICE_ROWS).to_pylist():
-                        if z is None:
-                            fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                            z = StoredZip(fs.open_output_stream(temp))
-                            z.begin(DATA)
-                        payload = b"" if r["record_type"] == "revisit" else r["payload"]
-                        raw = gzip.compress(record(r["record_type"], r["page_id"], r["url"], payload, r["digest"], r["payload_bytes"], r["refers_to"]), 6, mtime=0)
-                        index.write(json.dumps({"offset": z.members[0][3], "length": len(raw), "id": r["page_id"]}).encode() + b"\n")
-                        z.add(raw)
-                        n += 1
-            if z:
-                z.end()
-                z.begin(INDEX)
-                index.seek(0)
-                while part := index.read(1 << 20):
-                    z.add(part)
-                z.end()
-                z.close()
-                z.out.close()
-                fs.move(temp, path)
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((ctx.partitionId(), uri, n), schema, strict=True)], schema=schema)
+        part, k, now = TaskContext.get().partitionId(), 0, None
+
+        def told(w: PackageWriter) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(((part << 20) + k, *w.close()), schema, strict=True)], schema=schema)
+
+        for b in batches:
+            for x in slices(b):
+                for r in x.to_pylist():
+                    now = now or PackageWriter(f"{out}/package-{part:06d}-{k:04d}.wacz")
+                    payload = b"" if r["record_type"] == "revisit" else r["payload"]
+                    now.add(r["page_id"], gzip.compress(record(r["record_type"], r["page_id"], r["url"], payload, r["digest"], r["payload_bytes"], r["refers_to"]), 6, mtime=0))
+                    if now.full():
+                        yield told(now)
+                        now, k = None, k + 1
+        if now:
+            yield told(now)
 
     told = marked(pages, min_bytes).mapInArrow(run, "package long, uri string, n_records long").collect()  # a row per package
     return pages.sparkSession.createDataFrame(sorted(told), "package long, uri string, n_records long")
