@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import documents, saved
+from .common import documents, saved, slices
 from .tokens import ENCODE_ROWS, encoder, tokenizer_file
 
 SEQUENCE = 2048
@@ -135,13 +135,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SEQUENCE,
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, p, enc = TaskContext.get().partitionId(), 0, Packer(size, windows, min_cut), encoder(tokenizer, end_id)
         for b in batches:
-            for i in range(0, b.num_rows, ENCODE_ROWS):
-                rows = b.slice(i, ENCODE_ROWS).to_pydict()
+            for x in slices(b, ENCODE_ROWS):
+                rows = x.to_pydict()
                 for doc, ids in zip(rows["doc_id"], enc.encode(rows["text"]), strict=True):
                     p.add(doc, ids)
-                if len(p.done) >= 128:
-                    yield batch(p.done, part, at)
-                    at, p.done = at + len(p.done), []
+                    if len(p.done) >= 128:
+                        yield batch(p.done, part, at)
+                        at, p.done = at + len(p.done), []
         rest = p.finish()
         if p.done:
             yield batch(p.done, part, at)

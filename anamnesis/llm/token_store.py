@@ -5,7 +5,7 @@ A shard holds the ids of a range of documents in ascending doc_id order as littl
 the public seekable format with a checksum (low half of XXH64) for each frame. A reader takes the seek
 table from the end of the file, the index, and then only the frames of the documents it is asked for.
 
-Defined cases: null ids come first; equal ids are ordered by text; a null text is empty and is only its
+Defined cases: null ids come first; equal ids are ordered by a hash of the text, then the text; a null text is empty and is only its
 end id; an empty table gives an empty store; a document longer than a frame has a frame of its own.
 """
 
@@ -23,11 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shared_dir, shuffle_parts
+from .common import documents, shared_dir, shuffle_parts, slices
 from .tokens import ENCODE_ROWS, encoder, tokenizer_file
 
 #: Ids after which a frame ends.
 FRAME_IDS = 1 << 16
+#: Bytes of text of a shard.
+SHARD_BYTES = 1 << 30
 _SKIPPABLE, _TABLE, _FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _INDEX = np.dtype([("doc_id", "<i8"), ("is_null", "u1"), ("frame", "<u4"), ("at", "<u4"), ("n", "<u4")])
 
@@ -45,14 +47,17 @@ class ShardWriter:
         self.temp = f"{self.path}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}.part"
         self.out, self.codec = self.fs.open_output_stream(self.temp), zstandard.ZstdCompressor(level=3)
         self.frames: list[tuple[int, int, int]] = []
-        self.index: list[tuple] = []
+        self.index: list[np.ndarray] = []
+        self.noted: list[tuple] = []
         self.wait: list[bytes] = []
         self.waiting, self.n_tokens = 0, 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         if self.waiting and self.waiting + len(ids) > FRAME_IDS:
             self._frame()
-        self.index.append((doc_id or 0, doc_id is None, len(self.frames), self.waiting, len(ids)))
+        self.noted.append((doc_id or 0, doc_id is None, len(self.frames), self.waiting, len(ids)))
+        if len(self.noted) >= 4096:
+            self._index()
         self.wait.append(ids.astype("<u4", copy=False).tobytes())
         self.waiting, self.n_tokens = self.waiting + len(ids), self.n_tokens + len(ids)
 
@@ -63,10 +68,15 @@ class ShardWriter:
         self.frames.append((len(data), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
         self.wait, self.waiting = [], 0
 
+    def _index(self) -> None:
+        self.index.append(np.array(self.noted, _INDEX))
+        self.noted = []
+
     def close(self) -> int:
         if self.wait:
             self._frame()
-        index = self.codec.compress(np.array(self.index, _INDEX).tobytes())
+        self._index()
+        index = self.codec.compress(np.concatenate(self.index).tobytes())
         self.out.write(struct.pack("<II", _SKIPPABLE, len(index)) + index)
         self.frames.append((len(index) + 8, 0, xxhash.xxh64_intdigest(index) & 0xFFFFFFFF))
         table = b"".join(struct.pack("<III", *f) for f in self.frames) + struct.pack("<IBI", len(self.frames), 0x80, _FOOTER)
@@ -133,8 +143,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, out: str | No
         part, writer, enc, n = TaskContext.get().partitionId(), None, encoder(tokenizer, end_id), 0
         uri = f"{out}/shard-{part:06d}.zst"
         for b in batches:
-            for i in range(0, b.num_rows, ENCODE_ROWS):
-                rows = b.slice(i, ENCODE_ROWS).to_pydict()
+            for x in slices(b, ENCODE_ROWS):
+                rows = x.to_pydict()
                 writer = writer or ShardWriter(uri)
                 for doc, ids in zip(rows["doc_id"], enc.encode(rows["text"]), strict=True):
                     writer.add(doc, ids)
@@ -142,7 +152,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, out: str | No
         if writer:
             yield pa.RecordBatch.from_pydict({"shard": [part], "uri": [uri], "n_docs": [n], "n_tokens": [writer.close()]})
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards or shuffle_parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    # the hash parts rows of one id, should it be on very many
+    ordered = rows.repartitionByRange(shards or shard_count(docs), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
     # a row per shard comes to the driver, not per document
     told = sorted(ordered.mapInArrow(run, "shard long, uri string, n_docs long, n_tokens long").collect())
     rows, start = [], 0
@@ -152,6 +164,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, out: str | No
     return spark.createDataFrame(rows, "shard long, uri string, n_docs long, n_tokens long, start long")
 
 
+def shard_count(docs: DataFrame) -> int:
+    """Shards of bounded size, and no fewer than there are shuffle partitions."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(shuffle_parts(docs.sparkSession), -(-size // SHARD_BYTES))
+
+
 def read_tokens(manifest: DataFrame, doc_ids: list[int] | None = None) -> DataFrame:
     """doc_id, start, n_tokens and ids of all documents of the shards, or of a few."""
     arrow = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
