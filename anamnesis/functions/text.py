@@ -23,17 +23,56 @@ def truncated(text: Column, limit: int) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)
 
 
+def formatted_number(n: Column) -> Column:
+    """A whole number with a comma between thousands."""
+    return F.format_number(n, 0)
+
+
+def formatted_bytes(n: Column) -> Column:
+    """Bytes in the largest unit that they fill, with one decimal."""
+    in_unit = lambda size, name: F.format_string(f"%.1f {name}", n / F.lit(float(size)))
+    return F.when(n >= 1 << 30, in_unit(1 << 30, "GB")).when(n >= 1 << 20, in_unit(1 << 20, "MB")).when(n >= 1 << 10, in_unit(1 << 10, "KB")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+
+
 # ---------------------------------------------------------------- PII
 
 _MASKS = {kind: "|".join(f"(?:{p})" for p, k in R.PII_PATTERNS if k == kind) for _, kind in R.PII_PATTERNS}
 
 
+#: One alternation of all kinds, a group each: at a place the first kind in order wins.
+_ALL_MASKS = "|".join(f"({p})" for p in _MASKS.values())
+#: Something that every match has, cheap to look for.
+_HINT = r"@|\d{3}|(?i:pass|pwd)|sk-|pk_|AKIA|gsk_|xai-|ghp_|glpat-"
+#: Noncharacters that stand around the groups of a match until they are named.
+_EDGES = "".join(chr(0xFDD0 + i) for i in range(len(_MASKS) + 1))
+
+
 def pii_mask(text: Column) -> Column:
-    """Matches replaced by [MASKED:kind], kind after kind in the order of the patterns, so that a card is never masked
-    as a phone number. Where matches of two kinds overlap partly the first kind in that order wins, not the leftmost."""
-    for kind, pattern in _MASKS.items():
-        text = F.regexp_replace(text, pattern, rf"[MASKED:{kind}]")
-    return text
+    """Matches replaced by [MASKED:kind], from the left and without overlaps; where two kinds begin at one place the first in
+    the order of the patterns wins. (Noncharacters of a text that has matches become U+FFFD.)"""
+    marked = "".join(f"{_EDGES[i]}${i + 1}" for i in range(len(_MASKS))) + _EDGES[-1]
+    out = F.regexp_replace(F.translate(text, _EDGES, "\ufffd" * len(_EDGES)), _ALL_MASKS, marked)
+    for i, kind in enumerate(_MASKS):
+        out = F.regexp_replace(out, f"{_EDGES[: i + 1]}[^{_EDGES[i + 1]}]+{_EDGES[i + 1 :]}", f"[MASKED:{kind}]")
+    return F.when(F.rlike(text, F.lit(_HINT)), out).otherwise(text)
+
+
+def pii_matches(text: Column) -> Column:
+    """array<struct<kind, start, end, masked>> of the matches that pii_mask replaces, places in code points, ends exclusive."""
+    hit = F.regexp_extract_all(text, F.lit(_ALL_MASKS), F.lit(0))
+    kinds = [F.regexp_extract_all(text, F.lit(_ALL_MASKS), F.lit(i + 1)) for i in range(len(_MASKS))]
+    between = F.split(text, _ALL_MASKS)
+    sizes = lambda parts: F.transform(parts, F.length)
+    upto = lambda lengths, n: F.aggregate(F.slice(lengths, F.lit(1), n), F.lit(0), lambda s, x: s + x)
+    named = F.zip_with(hit, F.sequence(F.lit(0), F.size(hit) - 1), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+
+    def told(x: Column) -> Column:
+        kind = F.coalesce(*[F.when(F.get(k, x["i"]) != "", F.lit(name)) for k, name in zip(kinds, _MASKS, strict=True)])
+        start = upto(sizes(between), x["i"] + 1) + upto(sizes(hit), x["i"])
+        return F.struct(kind.alias("kind"), start.alias("start"), (start + F.length(x["h"])).alias("end"), F.concat(F.lit("[MASKED:"), kind, F.lit("]")).alias("masked"))
+
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,masked:string>>")
+    return F.when(F.size(hit) > 0, F.transform(named, told)).otherwise(none)
 
 
 def pii_counts(text: Column) -> dict[str, Column]:
@@ -109,12 +148,8 @@ def has_date(lower: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """Capitalised words that do not begin a sentence, in lower case, without common words."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    # each word beside the one before it: looking that up within the lambda would split the text again for every word
-    before = F.slice(F.concat(F.array(F.lit(".")), words), F.lit(1), F.size(words))
-    pairs = F.zip_with(words, before, lambda w, b: F.struct(w.alias("w"), b.alias("b")))
-    # a word begins a sentence if it is the first or the word before ends one; a colon counts once past the first word
-    inner = F.transform(F.filter(pairs, lambda x, i: ~(F.rlike(x["b"], F.lit(r"[.!?]$")) | ((i > 1) & F.rlike(x["b"], F.lit(":$"))))), lambda x: x["w"])
+    # capitalised words whose neighbour before ends no sentence; a colon ends one, but not after the very first word
+    inner = F.regexp_extract_all(text, F.lit(r"(?:(?<=[^.!?:\s])\s+|^\s*\S+:\s+)([^\s\p{L}\p{N}]*\p{Lu}\S*)"), F.lit(1))
     clean = F.transform(inner, lambda w: F.regexp_replace(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""), r"('|’)s$", ""))
     common = F.array(*[F.lit(w) for w in R.COMMON_WORDS])
     bare = lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", "")
@@ -147,9 +182,18 @@ def query_labels(text: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
+def long_words(text: Column) -> Column:
+    """Words of three bytes or more in lower case."""
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: F.octet_length(w) >= 3)
+
+
 def fingerprints(text: Column) -> Column:
-    """Words of three bytes or more in lower case, and pairs of those that follow each other."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: F.octet_length(w) >= 3)
+    """The long words of a text, and pairs of those that follow each other."""
+    return word_fingerprints(long_words(text))
+
+
+def word_fingerprints(words: Column) -> Column:
+    """The same of an array of long words: as a column of its own the array is made once, not for each place it stands at."""
     pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws("_", a, b))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(words, pairs))
 

@@ -7,24 +7,38 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import rules as R
+from ..functions import scoring as S
 from ..functions import text as X
+from ..sources.shared import written
 from .vectors import similar_pairs
 
 
+def survivors(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id, survivor of every row that goes. rows(id, importance), pairs(a, b).
+
+    Of a pair the more important row wins, the smaller id if they are equal. A row that loses to any goes to the best of those
+    it loses to, and with that one to whatever it goes to in turn (by pointer jumping over written tables: an order has no rings).
+    """
+    side = lambda c: rows.select(F.col("id").alias(c), F.coalesce("importance", F.lit(0.0)).alias(f"i{c}"))
+    both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(side("a"), "a").join(side("b"), "b")
+    first = F.col("ia") >= F.col("ib")
+    lost = both.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("id"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("winner"), F.greatest("ia", "ib").alias("w"))
+    now = written(lost.groupBy("id").agg(F.max_by("winner", F.struct("w", -F.col("winner"))).alias("survivor")), "survivors")
+    while True:
+        further = now.select(F.col("id").alias("survivor"), F.col("survivor").alias("next"))
+        now, old = written(now.join(further, "survivor", "left").select("id", F.coalesce("next", "survivor").alias("survivor"), F.col("next").isNotNull().alias("moved")), "survivors"), now
+        if not now.where("moved").limit(1).count():
+            return old
+
+
 def merge_duplicates(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows that survive, with the losers' retrievals added. rows(id, importance, echo_count), pairs(a, b, sim).
+    """Rows that survive, with the retrievals of those that go to them. rows(id, importance, echo_count), pairs(a, b).
 
-    Of a pair the more important row wins, the smaller id if they are equal. Rows are merged into the best row they are
-    paired with, in one step: a row that loses to any pair goes, and what it had goes to the best of its winners.
     (A walk over pairs in order would let a row that has lost go on absorbing others; chains end differently there.)
     """
-    side = lambda c: rows.select(F.col("id").alias(c), F.col("importance").alias(f"i{c}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    first = F.coalesce("ia", F.lit(0.0)) >= F.coalesce("ib", F.lit(0.0))
-    lost = both.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("id"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("winner"), F.greatest("ia", "ib").alias("w"))
-    best = lost.groupBy("id").agg(F.max_by("winner", F.struct("w", -F.col("winner"))).alias("winner"))
-    given = best.join(rows.select("id", "echo_count"), "id").groupBy(F.col("winner").alias("id")).agg(F.sum("echo_count").alias("_more"))
-    kept = rows.join(best.select("id"), "id", "left_anti").join(given, "id", "left")
+    to = survivors(rows, pairs).select("id", "survivor")
+    given = to.join(rows.select("id", "echo_count"), "id").groupBy(F.col("survivor").alias("id")).agg(F.sum("echo_count").alias("_more"))
+    kept = rows.join(to.select("id"), "id", "left_anti").join(given, "id", "left")
     return kept.withColumn("echo_count", F.col("echo_count") + F.coalesce("_more", F.lit(0))).drop("_more")
 
 
@@ -71,6 +85,39 @@ def children(parents: DataFrame, found: DataFrame, config: Config = DEFAULT) ->
     )
 
 
+def without_siblings(made: DataFrame, existing: DataFrame, least: float = 0.95) -> DataFrame:
+    """Children whose parent has no child yet that says nearly the same. made and existing have parent_id, content and v.
+
+    Equal texts (in any case) of a subject are the same without a look at vectors; null vectors are like no other.
+    """
+    told = existing.select(F.col("parent_id").alias("_p"), F.lower("subject").alias("_s"), F.lower("content").alias("_c"), F.col("v").alias("_v"))
+    same = F.lower("subject").eqNullSafe(F.col("_s")) & F.lower("content").eqNullSafe(F.col("_c"))
+    near = F.coalesce(F.round(S.cosine(F.col("v"), F.col("_v")), 9) > least, F.lit(False))
+    return made.join(told, F.col("parent_id").eqNullSafe(F.col("_p")) & (same | near), "left_anti")
+
+
+def same_subject(made: DataFrame, existing: DataFrame, least: float = 0.75) -> DataFrame:
+    """id (of the existing child), content, confidence: the new children that revise a child of their parent and subject.
+
+    Of several children that are similar enough the one with the smallest id is revised, by the new child with the longest
+    text (the first in order of equal ones). made(parent_id, subject, content, confidence, v), existing also has id.
+    """
+    told = existing.select("id", F.col("parent_id").alias("_p"), F.lower("subject").alias("_s"), F.col("v").alias("_v"))
+    alike = (F.col("parent_id") == F.col("_p")) & (F.lower("subject") == F.col("_s")) & (F.round(S.cosine(F.col("v"), F.col("_v")), 9) > least)
+    rows = made.select("parent_id", "subject", "content", "confidence", "v").join(told, alike)
+    one = rows.groupBy("parent_id", F.lower("subject").alias("s"), "content").agg(F.min("id").alias("id"), F.max("confidence").alias("confidence"))
+    best = F.max_by(F.struct("content", "confidence"), F.struct(F.length("content"), F.expr("-crc32(content)"), "content"))
+    return one.groupBy("id").agg(best.alias("b")).select("id", "b.content", "b.confidence")
+
+
+def revised(rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """Children with the longer of the two texts, and the new confidence, where changes(id, content, confidence) has them."""
+    told = changes.select("id", F.col("content").alias("_content"), F.col("confidence").alias("_confidence"))
+    longer = F.octet_length("_content") > F.octet_length("content")
+    joined = rows.join(told, "id", "left")
+    return joined.withColumns({"content": F.when(longer, F.col("_content")).otherwise(F.col("content")), "confidence": F.coalesce("_confidence", "confidence")}).drop("_content", "_confidence")
+
+
 def new_children(made: DataFrame, existing: DataFrame) -> DataFrame:
     """Children whose parent has no child of the same subject (in any case) and text yet."""
     told = existing.select(F.col("parent_id").alias("_p"), F.lower("subject").alias("_s"), F.lower("content").alias("_c")).distinct()
@@ -79,6 +126,16 @@ def new_children(made: DataFrame, existing: DataFrame) -> DataFrame:
     return rows.join(told, same, "left_anti").drop("_ls", "_lc")
 
 
+def superseded_sentences(new: DataFrame, texts: DataFrame) -> DataFrame:
+    """new_id, old_id, predicate, new_value, old_value: facts against the sentences of texts(id, content, source, ts) that are
+    no extracted facts themselves; a fact may replace several. new(id, subject, predicate, object, ts)."""
+    rows = sentences(texts.where("source is null or source <> 'enrichment'")).withColumn("t", X.triple(F.col("sentence"))).where("t is not null")
+    old = rows.join(texts.select("id", "ts"), "id").select(F.col("id").alias("old_id"), F.lower("t.subject").alias("s"), F.col("t.predicate").alias("predicate"), F.col("t.object").alias("old_value"), F.col("ts").alias("old_ts"))
+    n = new.where(F.col("predicate").isin(*R.SINGLE_VALUED)).select(F.col("id").alias("new_id"), F.lower("subject").alias("s"), "predicate", F.col("object").alias("new_value"), F.col("ts").alias("new_ts"))
+    both = n.join(old, ["s", "predicate"]).where((F.lower("new_value") != F.lower("old_value")) & (F.col("new_id") != F.col("old_id")) & (F.col("old_ts") <= F.col("new_ts")))
+    return both.select("new_id", "old_id", "predicate", "new_value", "old_value", "new_ts").distinct()
+
+
 def superseded(new: DataFrame, old: DataFrame) -> DataFrame:
     """new_id, old_id, predicate, new_value, old_value of facts of one subject whose single-valued relation has changed.
 

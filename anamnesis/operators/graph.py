@@ -91,6 +91,16 @@ def set_columns(edges: DataFrame, changes: DataFrame, *names: str) -> DataFrame:
     return joined.select(*cols)
 
 
+def edge_counts(edges: DataFrame) -> DataFrame:
+    """kind, n_edges, n_activations; edges without a kind are of co-activation."""
+    return edges.groupBy(F.coalesce("kind", F.lit("co_activation")).alias("kind")).agg(F.count(F.lit(1)).alias("n_edges"), F.sum("activation_count").alias("n_activations"))
+
+
+def edge(edges: DataFrame, a: int, b: int) -> DataFrame:
+    """The edge between two nodes, whichever comes first; no row if there is none."""
+    return edges.where((F.least("src", "dst") == min(a, b)) & (F.greatest("src", "dst") == max(a, b)))
+
+
 def boost(results: DataFrame, edges: DataFrame, cap: float = 0.4) -> DataFrame:
     """query_id, id, boost, superseded: weights of edges to other results of the query, typed edges more, superseding ones counted.
 
@@ -99,7 +109,9 @@ def boost(results: DataFrame, edges: DataFrame, cap: float = 0.4) -> DataFrame:
     directed = edges.select(F.col("src").alias("id"), F.col("dst").alias("other"), "weight", "kind", F.lit(True).alias("newer")).unionByName(
         edges.select(F.col("dst").alias("id"), F.col("src").alias("other"), "weight", "kind", F.lit(False).alias("newer"))
     )
-    mine = results.select("query_id", "id").join(directed, "id").join(results.select("query_id", F.col("id").alias("other")), ["query_id", "other"])
+    # pairs are made among a query's few results and then looked up, so that a node with many edges is not told to every query
+    pairs = results.select("query_id", "id").join(results.select("query_id", F.col("id").alias("other")), "query_id").where("id <> other")
+    mine = pairs.join(directed, ["id", "other"])
     extra = F.when((F.col("kind") == "supersedes") & F.col("newer"), 0.1).when(F.col("kind").isNotNull() & (F.col("kind") != "supersedes"), 0.05).otherwise(0.0)
     older = F.count_if((F.col("kind") == "supersedes") & ~F.col("newer"))
     return mine.groupBy("query_id", "id").agg(F.least(F.sum(F.col("weight") + extra), F.lit(cap)).alias("boost"), older.alias("superseded"))

@@ -11,10 +11,11 @@ from ..functions import text as X
 
 
 def stored(texts: DataFrame, now: Column, config: Config = DEFAULT) -> DataFrame:
-    """Rows of the memories table from texts(id, content, source): masked, classified, rewritten, categorised, labelled."""
+    """Rows of the memories table from texts(id, content, source): masked, classified, rewritten, categorised, labelled.
+    Further columns stay."""
     # the masked text is a column of its own, not an expression repeated in each rule
     masked = F.col("_masked")
-    rows = texts.select("id", "content", "source", X.pii_mask(F.col("content")).alias("_masked")).withColumns(
+    rows = texts.select(*texts.columns, X.pii_mask(F.col("content")).alias("_masked")).withColumns(
         {
             "masked_content": F.when(masked != F.col("content"), masked),
             "sensitivity": X.sensitivity(F.col("content")),
@@ -109,8 +110,11 @@ def gate(queries: DataFrame, rows: DataFrame, least_rows: int = 50) -> DataFrame
     """Queries that have a word or pair of words with the store in common; all pass while the store is small."""
     if rows.limit(least_rows).count() < least_rows:
         return queries
-    known = rows.select(F.explode(X.fingerprints(F.col("content"))).alias("f")).distinct()
-    asked = queries.select("query_id", F.explode(X.fingerprints(F.col("text"))).alias("f"))
+    asked = queries.select("query_id", X.long_words(F.col("text")).alias("w")).select("query_id", F.explode(X.word_fingerprints(F.col("w"))).alias("f"))
+    # the store's words are met with the few asked for as they are taken apart, and only those that are met go on
+    wanted = asked.select("f").distinct()
+    told = rows.select(X.long_words(F.col("content")).alias("w")).select(F.explode(X.word_fingerprints(F.col("w"))).alias("f"))
+    known = told.join(wanted, "f", "left_semi").distinct()
     return queries.join(asked.join(known, "f", "left_semi").select("query_id").distinct(), "query_id", "left_semi")
 
 
@@ -121,17 +125,32 @@ def aliases(entities: DataFrame) -> DataFrame:
     return entities.select("entity_id", F.explode(F.array_distinct(F.transform(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda a: F.lower(F.trim(a))))).alias("alias"))
 
 
-def resolve(texts: DataFrame, alias_rows: DataFrame, max_words: int = 4) -> DataFrame:
-    """id, entity_id of the longest alias that stands in a text between characters that are no letters or digits.
+def _bare(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
-    Texts are cut into runs of words and met with aliases by an equi-join; aliases of more words than max_words, or with
-    characters other than letters, digits and single spaces, are not found this way.
+
+def resolve(texts: DataFrame, alias_rows: DataFrame) -> DataFrame:
+    """id, entity_id, alias of the longest alias that stands in a text between characters that are no letters or digits.
+
+    Texts are cut into runs of words, as long as the longest alias, and met with the words of aliases by an equi-join; what
+    stands between the words is looked at afterwards. Aliases without letters and digits are never found.
     """
-    words = F.filter(F.split(F.lower(F.col("content")), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_words)), lambda n: F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice("w", i, n), " "))))
-    cut = texts.select("id", words.alias("w")).select("id", F.explode(F.array_distinct(runs)).alias("alias"))
+    named = alias_rows.select("entity_id", "alias", F.array_join(_bare(F.col("alias")), " ").alias("_words")).where("_words <> ''")
+    most = named.agg(F.max(F.size(F.split("_words", " ")))).first()[0] or 0
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max(1, most))), lambda n: F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice("w", i, n), " "))))
+    cut = texts.select("id", F.col("content").alias("_t"), _bare(F.col("content")).alias("w")).select("id", "_t", F.explode(F.array_distinct(runs)).alias("_words"))
+    stands = F.rlike(F.lower("_t"), F.concat(F.lit(r"(?s)(?<![\p{L}\p{N}])\Q"), F.col("alias"), F.lit(r"\E(?![\p{L}\p{N}])")))
     order = Window.partitionBy("id").orderBy(F.desc(F.octet_length("alias")), "alias", "entity_id")
-    return cut.join(alias_rows, "alias").withColumn("_n", F.row_number().over(order)).where("_n = 1").select("id", "entity_id", "alias")
+    return cut.join(named, "_words").where(stands).withColumn("_n", F.row_number().over(order)).where("_n = 1").select("id", "entity_id", "alias")
+
+
+def with_aliases(entities: DataFrame, more: DataFrame) -> DataFrame:
+    """entities with further aliases from more(entity_id, alias), each once in any case."""
+    told = more.groupBy("entity_id").agg(F.sort_array(F.collect_set(F.lower(F.trim("alias")))).alias("_more"))
+    have = F.coalesce("aliases", F.array().cast("array<string>"))
+    known = F.transform(F.concat(have, F.array("canonical_name")), lambda a: F.lower(F.trim(a)))
+    new = F.filter(F.coalesce("_more", F.array().cast("array<string>")), lambda a: ~F.array_contains(known, a))
+    return entities.join(told, "entity_id", "left").withColumn("aliases", F.concat(have, new)).drop("_more")
 
 
 def new_entities(names: DataFrame, known: DataFrame) -> DataFrame:

@@ -38,6 +38,34 @@ def usage(log: DataFrame, period: str) -> DataFrame:
     return log.groupBy("provider", F.date_trunc(period, "ts").alias("period")).agg(F.count(F.lit(1)).alias("n_requests"), F.sum("cost").alias("cost"), F.max("ts").alias("last_used"))
 
 
+def spent(log: DataFrame, at: Column) -> DataFrame:
+    """provider, today, this_month, last_used of log(provider, ts, cost), as of a time."""
+    same = lambda period: F.sum(F.when(F.date_trunc(period, "ts") == F.date_trunc(period, at), F.col("cost")))
+    return log.groupBy("provider").agg(F.coalesce(same("day"), F.lit(0.0)).alias("today"), F.coalesce(same("month"), F.lit(0.0)).alias("this_month"), F.max("ts").alias("last_used"))
+
+
+def model_providers(models: DataFrame) -> DataFrame:
+    """model, provider: who is asked for a model that several have, the first in place. models(place, provider, model)."""
+    return models.groupBy("model").agg(F.min_by("provider", "place").alias("provider"))
+
+
+def with_provider(models: DataFrame, provider: DataFrame) -> DataFrame:
+    """models with those of a provider (one or more rows of it) put in place of what it had, after all others."""
+    rest = models.join(provider.select("provider").distinct(), "provider", "left_anti").select(*models.columns)
+    last = F.coalesce(F.lit(rest.agg(F.max("place")).first()[0]), F.lit(-1))
+    return rest.unionByName(provider.withColumn("place", (F.col("place") + last + 1).cast(dict(models.dtypes)["place"])).select(*models.columns))
+
+
+def without_provider(models: DataFrame, name: str) -> DataFrame:
+    return models.where(F.col("provider") != name)
+
+
+def fallback_chain(models: DataFrame) -> DataFrame:
+    """provider, place of enabled providers, local ones first, then as they come."""
+    one = models.where("enabled").groupBy("provider").agg(F.min("place").alias("first"), F.max("is_local").alias("is_local"))
+    return one.select("provider", F.row_number().over(Window.orderBy(F.desc("is_local"), "first")).alias("place"))
+
+
 def within_budget(spent: Column, limit: Column, more: Column | None = None) -> Column:
     """Below the limit, or, with a further cost, not above it."""
     return spent < limit if more is None else spent + more <= limit

@@ -22,73 +22,84 @@ PAIR_BLOCK = 2048
 PROBES, FLIPS = 80, 3
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows as a float64 matrix with unit rows (zero rows stay zero), and which rows are vectors of the usual length."""
-    lengths = np.asarray(column.value_lengths().fill_null(0))
-    usual = int(np.bincount(lengths[lengths > 0]).argmax()) if (lengths > 0).any() else 0
-    good = (lengths == usual) & (lengths > 0)
+def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows as a float64 matrix with unit rows (zero rows stay zero), and which rows are vectors of that length."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    good = np.asarray(column.value_lengths().fill_null(0)) == dim
     flat = column.filter(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    m = np.nan_to_num(flat.reshape(-1, usual)) if usual else np.zeros((0, 0))
+    m = np.nan_to_num(flat.reshape(-1, dim))
     norm = np.sqrt((m * m).sum(1, keepdims=True))
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0), good
 
 
+def _blocks(queries: DataFrame) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """The queries in blocks, each as (matrix, ids) for every length of vectors in it."""
+    rows = queries.select("query_id", "v").where("v is not null and size(v) > 0")
+    count = rows.count()
+    for start in range(0, max(count, 1), QUERY_BLOCK):
+        block = rows if count <= QUERY_BLOCK else rows.orderBy("query_id").offset(start).limit(QUERY_BLOCK)
+        got, out = block.toArrow() if count else None, []
+        if got is not None:
+            lengths = np.asarray(got["v"].combine_chunks().value_lengths())
+            for dim in np.unique(lengths).tolist():
+                m, good = _matrix(got["v"], dim)
+                out.append((m, np.asarray(got["query_id"])[good]))
+        yield out
+
+
 def knn(rows: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.0, strict: bool = False, keep_self: bool = False) -> DataFrame:
     """query_id, id, sim, rank of the k most similar rows of at least the threshold. rows(id, v), queries(query_id, v).
 
-    Equal similarities (to 9 places) are ordered by id. Null, empty and odd-length vectors match nothing.
+    Thresholds and order look at 9 places, ties go by id. A query meets the rows whose vectors are as long as its own; null
+    and empty vectors match nothing.
     """
-    count, out = queries.count(), None
-    for start in range(0, max(count, 1), QUERY_BLOCK):
-        block = queries.select("query_id", "v") if count <= QUERY_BLOCK else queries.select("query_id", "v").orderBy("query_id").offset(start).limit(QUERY_BLOCK)
-        got = block.toArrow() if count else pa.table({"query_id": pa.array([], pa.int64()), "v": pa.array([], pa.list_(pa.float32()))})
-        q, good = _matrix(got["v"].combine_chunks()) if got.num_rows else (np.zeros((0, 0)), np.zeros(0, bool))
-        held = rows.sparkSession.sparkContext.broadcast((q, np.asarray(got["query_id"])[good] if got.num_rows else np.zeros(0, np.int64)))
+    out = None
+    for block in _blocks(queries):
+        held = rows.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            q, ids = held.value
-            best: list[tuple] = []
+            best: list[list[tuple]] = [[] for _ in held.value]
             for b in batches:
-                m, ok = _matrix(b.column(1))
-                if not len(m) or not len(ids) or m.shape[1] != q.shape[1]:
-                    continue
-                own = b.column(0).to_numpy(zero_copy_only=False)[ok]
-                sims = np.round(q @ m.T, 9)
-                hit = sims > threshold if strict else sims >= threshold
-                if not keep_self:
-                    hit &= ids[:, None] != own[None, :]
-                at, row = np.nonzero(hit)
-                if len(at):
-                    best.append((at, sims[at, row], own[row]))
-                if sum(len(x[0]) for x in best) > 2_000_000:
-                    best = [_head(best, k)]
-            if best:
-                at, sim, row = _head(best, k)
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[at], pa.int64()), "id": pa.array(row, pa.int64()), "sim": pa.array(sim, pa.float64())})
+                for mine, (q, ids) in zip(best, held.value, strict=True):
+                    m, ok = _matrix(b.column(1), q.shape[1])
+                    if not len(m):
+                        continue
+                    own = b.column(0).to_numpy(zero_copy_only=False)[ok]
+                    sims = q @ m.T
+                    near = np.round(sims, 9)
+                    hit = near > threshold if strict else near >= threshold
+                    if not keep_self:
+                        hit &= ids[:, None] != own[None, :]
+                    at, row = np.nonzero(hit)
+                    if len(at):
+                        mine.append((at, sims[at, row], own[row]))
+                    if sum(len(x[0]) for x in mine) > 2_000_000:
+                        mine[:] = [_head(mine, k)]
+            for mine, (_, ids) in zip(best, held.value, strict=True):
+                if mine:
+                    at, sim, row = _head(mine, k)
+                    yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[at], pa.int64()), "id": pa.array(row, pa.int64()), "sim": pa.array(sim, pa.float64())})
 
         part = rows.select(F.col("id").cast("long").alias("id"), "v").where("v is not null").mapInArrow(run, "query_id long, id long, sim double")
         out = part if out is None else out.unionByName(part)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 9)), "id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def kin_above(kin: DataFrame, queries: DataFrame, threshold: float, near: float) -> DataFrame:
     """query_id, id, child, sim, child_sim of every child whose similarity times weight reaches the threshold while its
     parent's lies in [near, threshold). kin(id, child, weight, v, child_v), queries(query_id, v); child_sim is weighted."""
-    count, out = queries.count(), None
-    for start in range(0, max(count, 1), QUERY_BLOCK):
-        block = queries.select("query_id", "v") if count <= QUERY_BLOCK else queries.select("query_id", "v").orderBy("query_id").offset(start).limit(QUERY_BLOCK)
-        got = block.toArrow() if count else pa.table({"query_id": pa.array([], pa.int64()), "v": pa.array([], pa.list_(pa.float32()))})
-        q, good = _matrix(got["v"].combine_chunks()) if got.num_rows else (np.zeros((0, 0)), np.zeros(0, bool))
-        held = kin.sparkSession.sparkContext.broadcast((q, np.asarray(got["query_id"])[good] if got.num_rows else np.zeros(0, np.int64)))
+    out = None
+    for block in _blocks(queries):
+        held = kin.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            q, ids = held.value
-            for whole in batches:
-                for b in (whole.slice(i, PAIR_BLOCK) for i in range(0, whole.num_rows, PAIR_BLOCK)):
-                    (m, ok), (c, child_ok) = _matrix(b.column(3)), _matrix(b.column(4))
+            for b in (whole.slice(i, PAIR_BLOCK) for whole in batches for i in range(0, whole.num_rows, PAIR_BLOCK)):
+                for q, ids in held.value:
+                    (m, ok), (c, child_ok) = _matrix(b.column(3), q.shape[1]), _matrix(b.column(4), q.shape[1])
                     both = ok & child_ok
-                    if not both.any() or not len(ids) or not m.shape[1] == c.shape[1] == q.shape[1]:
+                    if not both.any():
                         continue
                     own, child, weight = (b.column(i).to_numpy(zero_copy_only=False)[both] for i in range(3))
                     sims, child_sims = np.round(q @ m[both[ok]].T, 9), np.round((q @ c[both[child_ok]].T) * weight[None, :], 9)
@@ -102,7 +113,7 @@ def kin_above(kin: DataFrame, queries: DataFrame, threshold: float, near: float)
 
 def _head(best: list[tuple], k: int) -> tuple:
     at, sim, row = (np.concatenate(x) for x in zip(*best, strict=True))
-    order = np.lexsort((row, -sim, at))
+    order = np.lexsort((row, -np.round(sim, 9), at))
     at, sim, row = at[order], sim[order], row[order]
     first = np.concatenate([[True], at[1:] != at[:-1]])
     place = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
@@ -110,9 +121,10 @@ def _head(best: list[tuple], k: int) -> tuple:
 
 
 def _cells(rows: DataFrame, block: int) -> DataFrame:
-    """Each row (id, v) with its block `own`, once for each pair of blocks i <= j that it takes part in."""
+    """Each row (id, v) with its block `own` and its length `dim`, once for each pair of blocks i <= j that it takes part in.
+    Vectors of different lengths never meet."""
     blocks = max(1, -(-rows.count() // block))
-    placed = rows.select(F.col("id").cast("long").alias("id"), "v").where("v is not null and size(v) > 0").withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    placed = rows.select(F.col("id").cast("long").alias("id"), "v").where("v is not null and size(v) > 0").withColumn("dim", F.size("v")).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     return placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
 
 
@@ -121,17 +133,17 @@ def similar_pairs(rows: DataFrame, threshold: float, block: int = PAIR_BLOCK) ->
     cells = _cells(rows, block)
 
     def run(table: pa.Table) -> pa.Table:
-        m, good = _matrix(table["v"].combine_chunks())
+        m, good = _matrix(table["v"], table["dim"][0].as_py())
         ids, own = np.asarray(table["id"])[good], np.asarray(table["own"])[good]
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         left, right = (np.flatnonzero(own == i), np.flatnonzero(own == j))
-        sims = np.round(m[left] @ m[right].T, 9) if len(m) else np.zeros((0, 0))
-        x, y = np.nonzero(sims > threshold)
+        sims = m[left] @ m[right].T
+        x, y = np.nonzero(np.round(sims, 9) > threshold)
         a, b, s = ids[left][x], ids[right][y], sims[x, y]
         ok = (a < b) if i == j else (a != b)
         return pa.table({"a": pa.array(np.minimum(a, b)[ok], pa.int64()), "b": pa.array(np.maximum(a, b)[ok], pa.int64()), "sim": pa.array(s[ok], pa.float64())})
 
-    return cells.groupBy("i", "j").applyInArrow(run, "a long, b long, sim double")
+    return cells.groupBy("dim", "i", "j").applyInArrow(run, "a long, b long, sim double")
 
 
 def novelty(rows: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
@@ -139,16 +151,13 @@ def novelty(rows: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
     one number for each row, never its pairs."""
 
     def run(table: pa.Table) -> pa.Table:
-        m, good = _matrix(table["v"].combine_chunks())
+        m, good = _matrix(table["v"], table["dim"][0].as_py())
         ids = np.asarray(table["id"])[good]
-        order = np.argsort(ids, kind="stable")
-        ids, m = ids[order], m[order]
-        sims = np.where(ids[:, None] < ids[None, :], np.round(m @ m.T, 9), -np.inf) if len(m) else np.zeros((0, 0))
-        best = sims.max(0) if len(m) else np.zeros(0)
+        best = np.where(ids[:, None] < ids[None, :], m @ m.T, -np.inf).max(0)
         some = np.isfinite(best)
         return pa.table({"id": pa.array(ids[some], pa.int64()), "best": pa.array(best[some], pa.float64())})
 
-    best = _cells(rows, block).groupBy("i", "j").applyInArrow(run, "id long, best double").groupBy("id").agg(F.max("best").alias("best"))
+    best = _cells(rows, block).groupBy("dim", "i", "j").applyInArrow(run, "id long, best double").groupBy("id").agg(F.max("best").alias("best"))
     return rows.select("id").join(best, "id", "left").select("id", F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("best"))), F.lit(1.0)).alias("novelty"))
 
 
@@ -176,8 +185,8 @@ def _hashed(rows: DataFrame, key: str, p: np.ndarray, probe: bool) -> DataFrame:
         tables, bits, dim = p.shape
         weights = 1 << np.arange(bits)
         for b in batches:
-            m, ok = _matrix(b.column(1))
-            if not len(m) or m.shape[1] != dim:
+            m, ok = _matrix(b.column(1), dim)
+            if not len(m):
                 continue
             far = np.einsum("nd,tbd->ntb", m, p)
             code = (far >= 0) @ weights

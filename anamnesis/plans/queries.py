@@ -14,7 +14,7 @@ from ..config import DEFAULT
 from ..functions import rules as R
 from ..functions import scoring as S
 from ..functions import text as X
-from ..operators import consolidate, context, fusion, graph, memories, routing, vectors
+from ..operators import consolidate, context, fusion, graph, memories, routing, vectors, views
 from ..sources.shared import written
 from ..streaming import twins
 from . import echo as E
@@ -46,6 +46,11 @@ def embedded(spark, sf) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
 
 
+def tagged(spark, sf) -> DataFrame:
+    """Embeddings as rows with one label each."""
+    return embedded(spark, sf).select("id", "v", F.array(F.concat(F.lit("topic:"), F.col("label").cast("string"))).alias("labels"))
+
+
 def asked(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), "v")
 
@@ -85,14 +90,14 @@ COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
 @query(f"""
-WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round({COS}, 9) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
-SELECT query_id, id, round(sim, 6) AS sim, row_number() OVER w AS rank FROM s WHERE sim >= 0.14 WINDOW w AS (PARTITION BY query_id ORDER BY sim DESC, id) QUALIFY row_number() OVER w <= 10""")
+WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {COS} AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+SELECT query_id, id, round(sim, 6) AS sim, row_number() OVER w AS rank FROM s WHERE round(sim, 9) >= 0.14 WINDOW w AS (PARTITION BY query_id ORDER BY round(sim, 9) DESC, id) QUALIFY row_number() OVER w <= 10""")
 def knn_search(spark, sf):
     rows = embedded(spark, sf)
     return vectors.knn(rows, asked(rows), DEFAULT.max_results, DEFAULT.similarity_threshold).select("query_id", "id", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({COS}, 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {COS} > 0.4")
+@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({COS}, 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE round({COS}, 9) > 0.4")
 def similar_pairs(spark, sf):
     return vectors.similar_pairs(embedded(spark, sf), 0.4).select("a", "b", F.round("sim", 6).alias("sim"))
 
@@ -103,14 +108,12 @@ def novelty(spark, sf):
 
 
 @query(f"""
-SELECT a.vec_id AS id, b.vec_id AS other, round({COS}, 6) AS sim, row_number() OVER w AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
-WHERE a.vec_id % 20 = 0 AND {COS} >= 0 WINDOW w AS (PARTITION BY a.vec_id ORDER BY round({COS}, 9) DESC, b.vec_id) QUALIFY row_number() OVER w <= 3""")
+WITH s AS (SELECT a.vec_id AS id, b.vec_id AS other, {COS} AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+SELECT id, other, round(sim, 6) AS sim, row_number() OVER w AS rank FROM s WHERE round(sim, 9) >= 0 WINDOW w AS (PARTITION BY id ORDER BY round(sim, 9) DESC, other) QUALIFY row_number() OVER w <= 3""")
 def related_by_label(spark, sf):
-    rows = embedded(spark, sf)
-    mine = rows.where(F.col("id") % 20 == 0)
-    pairs = mine.select(F.col("id").alias("query_id"), "label", F.col("v").alias("qv")).join(rows, "label").where("id <> query_id")
-    best = fusion.top_k(pairs.select("query_id", "id", F.round(S.cosine(F.col("v"), F.col("qv")), 9).alias("sim")).where("sim >= 0"), 3, "sim")
-    return best.select(F.col("query_id").alias("id"), F.col("id").alias("other"), F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
+    rows = tagged(spark, sf)
+    best = views.related(rows, rows.where("id % 20 = 0").select("id"), 3)
+    return best.select("id", "other", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""
@@ -252,8 +255,12 @@ def graph_overview(spark, sf):
 
 
 def _masked_sql(column: str) -> str:
-    for kind, pattern in X._MASKS.items():
-        column = f"regexp_replace({column}, {quoted(pattern)}, '[MASKED:{kind}]', 'g')"
+    """One pass that puts the group of each kind between marks, then a name for each kind's marks."""
+    marks = X._EDGES
+    told = "".join(f"{marks[i]}\\\\{i + 1}" for i in range(len(X._MASKS))).replace("\\\\", "\\") + marks[-1]
+    column = f"regexp_replace({column}, {quoted(X._ALL_MASKS)}, '{told}', 'g')"
+    for i, kind in enumerate(X._MASKS):
+        column = f"regexp_replace({column}, '{marks[: i + 1]}[^{marks[i + 1]}]+{marks[i + 1 :]}', '[MASKED:{kind}]', 'g')"
     return column
 
 
@@ -384,7 +391,8 @@ WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+')
 f AS (SELECT DISTINCT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i+1]))) AS fingerprint FROM w)
 SELECT fingerprint, count(*) AS n_docs FROM f GROUP BY 1 HAVING count(*) >= 20""")
 def fingerprint_counts(spark, sf):
-    rows = table(spark, sf, "documents").select(F.explode(X.fingerprints(F.col("text"))).alias("fingerprint"))
+    words = table(spark, sf, "documents").select(X.long_words(F.col("text")).alias("words"))
+    rows = words.select(F.explode(X.word_fingerprints(F.col("words"))).alias("fingerprint"))
     return rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n_docs")).where("n_docs >= 20")
 
 
@@ -587,12 +595,12 @@ def user_sessions(spark, sf):
 
 
 def store(spark, sf) -> E.Store:
-    """Documents as memories, with the vectors of equal ids and the edges of users with equal ids."""
+    """Documents as memories, with the vectors of equal ids, where there is one, and the edges of users with equal ids."""
     vec = embedded(spark, sf)
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source")
-    rows = memories.stored(docs, F.timestamp_seconds(F.lit(NOW - 86400)), DEFAULT).join(vec.select("id", "label"), "id")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source").join(vec.select("id", "label"), "id", "left")
+    rows = memories.stored(docs, F.timestamp_seconds(F.lit(NOW - 86400)), DEFAULT)
     rows = rows.select("*", F.lit(None).cast("timestamp").alias("last_echoed"), F.lit(None).cast("bigint").alias("parent_id"), F.lit(None).cast("string").alias("subject"), F.lit(None).cast("timestamp").alias("superseded_at"), F.lit(0.5).alias("importance"))
-    rows = rows.withColumn("labels", F.array_append("labels", F.concat(F.lit("topic:"), F.col("label").cast("string"))))
+    rows = rows.withColumn("labels", F.when(F.col("label").isNull(), F.col("labels")).otherwise(F.array_append("labels", F.concat(F.lit("topic:"), F.col("label").cast("string")))))
     edges = co_edges(spark, sf).select("src", "dst", "weight", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("double").alias("valid_from"), F.lit(None).cast("double").alias("valid_until"))
     return E.Store(written(rows, "memories"), vec.select("id", "v"), written(edges, "edges"))
 
@@ -604,16 +612,27 @@ def echo_ranked(spark, sf):
     return E.echo(s, asked_, F.lit(NOW)).results.withColumn("labels", F.array_join("labels", ","))
 
 
-@query("SELECT count(*) AS n, count(*) AS n_text, 0::BIGINT AS n_vision, 0::BIGINT AS n_speech, (count(*) * (64 * 4 + 300))::BIGINT AS bytes FROM documents")
+@query("""
+WITH t AS (SELECT (SELECT count(*) FROM documents) AS t, (SELECT count(*) FROM pages) AS v, (SELECT count(*) FROM conversations) AS s)
+SELECT t + v + s AS n, t AS n_text, v AS n_vision, s AS n_speech, (t * (64 * 4 + 300) + v * (512 * 4 + 100) + s * (640 * 4 + 100))::BIGINT AS bytes FROM t""")
 def store_stats(spark, sf):
-    rows = table(spark, sf, "documents").select(F.lit("text").alias("modality"))
-    return memories.stats(rows, 64)
+    """Documents as texts, pages as images, turns as speech."""
+    parts = [table(spark, sf, t).select(F.lit(m).alias("modality")) for t, m in (("documents", "text"), ("pages", "vision"), ("conversations", "speech"))]
+    return memories.stats(graph.merged(parts), 64)
 
 
-@query("SELECT doc_id AS id, CASE WHEN length(text) > 120 THEN substr(text, 1, 120) || '...' ELSE text END AS content, source FROM documents")
+_SHOWN = f"coalesce(CASE WHEN {_masked_sql('text')} <> text THEN {_masked_sql('text')} END, text)"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id AS id, source, {_masked_sql('text')} AS m, text AS content, {_SENSE} AS sensitivity FROM documents),
+l AS (SELECT *, lower(m) AS l FROM d)
+SELECT id, CASE WHEN length(m) > 120 THEN substr(m, 1, 120) || '...' ELSE m END AS content, source, {_CATEGORY} AS category, sensitivity, 0 AS echo_count, {_labels_sql()} AS labels FROM l""")
 def listing(spark, sf):
-    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", X.truncated(F.col("text"), 120).alias("content"))
-    return rows.select("id", "content", "source")
+    """The listing of stored documents: masked, classified, categorised, labelled (entities left out: the SQL reads few words)."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source")
+    rows = memories.summaries(memories.stored(docs, F.timestamp_seconds(F.lit(NOW))))
+    return rows.withColumn("labels", F.array_join(F.filter("labels", lambda x: ~x.startswith("entity:")), ","))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
@@ -623,13 +642,15 @@ def forgotten(spark, sf):
 
 
 @query(f"""
-WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE round({COS}, 9) > 0.4),
+WITH RECURSIVE p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE round({COS}, 9) > 0.4),
 l AS (SELECT CASE WHEN ea.label >= eb.label THEN b ELSE a END AS id, CASE WHEN ea.label >= eb.label THEN a ELSE b END AS winner, greatest(ea.label, eb.label) AS w FROM p JOIN embeddings ea ON ea.vec_id = a JOIN embeddings eb ON eb.vec_id = b),
-b AS (SELECT id, winner FROM l QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, winner) = 1)
-SELECT vec_id AS id, 1 + (SELECT count(*) FROM b WHERE winner = vec_id) AS echo_count FROM embeddings WHERE vec_id NOT IN (SELECT id FROM b)""")
+b AS (SELECT id, winner FROM l QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, winner) = 1),
+r AS (SELECT id, winner FROM b UNION ALL SELECT r.id, b.winner FROM r JOIN b ON b.id = r.winner)
+SELECT vec_id AS id, 1 + (SELECT count(*) FROM r WHERE winner = vec_id) AS echo_count FROM embeddings WHERE vec_id NOT IN (SELECT id FROM b)""")
 def merged_duplicates(spark, sf):
     rows = embedded(spark, sf)
     pairs = vectors.similar_pairs(rows, 0.4)
     return consolidate.merge_duplicates(rows.select("id", F.col("label").cast("double").alias("importance"), F.lit(1).cast("long").alias("echo_count")), pairs).select("id", "echo_count")
 
 
+from . import stages  # noqa: E402, F401  registers its queries

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df written below spark.checkpoint.dir and read again; where that is unset (tests) below a temporary folder."""
+    """df written below spark.checkpoint.dir and read again. Where that is unset a temporary folder serves, but only if the
+    executors are threads of the driver (local tests)."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = f"file://{tempfile.mkdtemp(prefix='anamnesis-')}"
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"

@@ -51,20 +51,24 @@ def limiter(requests: DataFrame, per_second: int) -> DataFrame:
 
 
 def breaker(calls: DataFrame, failures: int = 5, cool_secs: float = 60.0) -> DataFrame:
-    """provider, ts, state after each call(provider, ts, ok): closed, open after so many failures in a row, half-open when the pause is over."""
+    """provider, ts, before, state: what a breaker was when each call(provider, ts, ok) came, and what it is after it.
+
+    closed; open after so many failures in a row; half-open for the first call when the pause after the last failure is over:
+    if that call succeeds the breaker closes, else the pause begins anew.
+    """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failed, opened = state.get if state.exists else (0, -1.0)
+        failed, last = state.get if state.exists else (0, -1.0)
         for part in parts:
             out = []
             for ts, ok in sorted(zip(part["ts"], part["ok"], strict=True)):
-                failed = 0 if ok else failed + 1
-                opened = -1.0 if ok else ts if failed >= failures else opened
-                out.append((key[0], ts, "closed" if failed < failures else "open"))
-            yield pd.DataFrame(out, columns=["provider", "ts", "state"])
-        state.update((failed, opened))
+                before = "closed" if failed < failures else "half-open" if ts - last >= cool_secs else "open"
+                failed, last = (0, -1.0) if ok else (failed + 1, ts)
+                out.append((key[0], ts, before, "closed" if failed < failures else "open"))
+            yield pd.DataFrame(out, columns=["provider", "ts", "before", "state"])
+        state.update((failed, last))
 
-    return calls.groupBy("provider").applyInPandasWithState(run, "provider string, ts double, state string", "failed long, opened double", "append", GroupStateTimeout.NoTimeout)
+    return calls.groupBy("provider").applyInPandasWithState(run, "provider string, ts double, before string, state string", "failed long, last double", "append", GroupStateTimeout.NoTimeout)
 
 
 def breaker_state(failed, last_failure, now, failures: int = 5, cool_secs: float = 60.0):
