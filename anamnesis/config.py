@@ -30,9 +30,24 @@ class Config:
     diversity_cap: int = 3
     power_law: bool = True
     actr: bool = False
+    rescue_only: bool = True
+    max_bytes: int = 0
+    embedding_dim: int = 384
 
 
 DEFAULT = Config()
+#: Lengths of known embedders' vectors by a part of their name, in order of precedence.
+MODEL_DIMS = (
+    ("bge-small", 384), ("bge-base", 768), ("bge-large", 1024), ("bge-m3", 1024), ("gte-large", 1024), ("gte-base", 768), ("minilm-l6", 384), ("minilm-l12", 384),
+    ("text-embedding-3-small", 1536), ("text-embedding-3-large", 3072), ("text-embedding-ada", 1536), ("nomic-embed-text", 768), ("mxbai-embed-large", 1024), ("all-minilm", 384), ("snowflake-arctic-embed", 1024),
+)
+
+
+def model_dim(model: str, config: "Config | None" = None) -> int:
+    """Length of a model's vectors by its name, else what is configured."""
+    return next((dim for part, dim in MODEL_DIMS if part in model.lower()), (config or DEFAULT).embedding_dim)
+
+
 #: Presets by size of the store.
 PRESETS = {
     "minimal": replace(DEFAULT, max_memories=100_000, similarity_threshold=0.16),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
@@ -10,6 +12,7 @@ from ..functions import rules as R
 from ..functions import scoring as S
 from ..functions import text as X
 from ..sources.shared import written
+from . import memories
 from .vectors import similar_pairs
 
 
@@ -191,3 +194,67 @@ def clusters(rows: DataFrame, known: DataFrame, least: int = 5, most: int = 5, m
 
 def upsert_summaries(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("label"), "label", "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+# ---------------------------------------------------------------- one pass of maintenance
+
+#: What a pass counts.
+COUNTERS = ("edges_pruned", "duplicates_merged", "counts_decayed", "importance_updated", "texts_enriched", "facts_extracted", "children_added", "children_revised", "facts_superseded", "labels_due")
+
+
+def consolidated(tables: dict[str, DataFrame], now: Column, config: Config = DEFAULT, embed: Callable[[DataFrame], DataFrame] | None = None, extract: Callable[[DataFrame], DataFrame] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """All steps of maintenance, one after the other over written tables: the new tables, and one row of COUNTERS.
+
+    tables: memories (with novelty_score, importance, importance_computed_at), vectors(id, v), edges(src, dst, weight, kind, value,
+    valid_from, valid_until), summaries(label, member_count). embed gives id, v of rows(id, content); without it children have
+    no vector and are told apart by their texts. extract gives id, n, fact, subject, predicate, object of rows (by rule as a default).
+    """
+    told: dict[str, int] = {}
+    rows, vecs, edges = tables["memories"], tables["vectors"], tables["edges"]
+    kept = written(edges.where(F.col("weight") >= config.prune_below), "edges")
+    told["edges_pruned"] = edges.count() - kept.count()
+
+    pairs = near_duplicates(vecs.join(rows.where("parent_id is null").select("id"), "id", "left_semi"), config)
+    merged = written(merge_duplicates(rows, pairs.select("a", "b")), "memories")
+    told["duplicates_merged"] = rows.count() - merged.count()
+    aged = memories.decayed_counts(merged, now)
+    told["counts_decayed"] = aged.join(merged.select("id", F.col("echo_count").alias("_was")), "id").where("echo_count <> _was").count()
+    fresh = written(memories.importance(aged, now), "memories")
+    told["importance_updated"] = fresh.where(F.col("importance_computed_at") == now.cast("timestamp")).count()
+
+    queue = written(to_enrich(fresh), "queue")
+    found = written((extract or facts)(queue), "facts")
+    made = children(queue, found, config).withColumn("confidence", F.lit(1.0).cast("float"))
+    base = fresh.agg(F.max("id")).first()[0]
+    # the few facts of a pass are numbered in the order of their texts
+    made = written(made.withColumn("id", F.row_number().over(Window.orderBy("parent_id", "content")) + F.lit(base if base is not None else -1)), "made")
+    empty = made.select("id", F.lit(None).cast("array<float>").alias("v"))
+    vectors_made = written(embed(made.select("id", "content")) if embed else empty, "child-vectors")
+    with_v = made.join(vectors_made, "id", "left")
+    old = fresh.where(F.col("parent_id").isNotNull()).join(vecs.select("id", "v"), "id", "left")
+    changes = written(same_subject(with_v, old), "changes")
+    revises = with_v.join(changes.select("content"), "content", "left_semi").select("id")
+    new = written(without_siblings(with_v, old).join(revises, "id", "left_anti"), "children")
+    told |= {"facts_extracted": found.count(), "children_added": new.count(), "children_revised": changes.count()}
+
+    tried = queue.select("id").join(found.groupBy("id").agg(F.count(F.lit(1)).alias("n_facts")), "id", "left").select("id", F.coalesce("n_facts", F.lit(0)).alias("n_facts"))
+    told["texts_enriched"] = tried.where("n_facts > 0").count()
+    whole = revised(attempted(fresh, tried), changes).unionByName(new.drop("v").withColumns({"enriched": F.lit(True), "enrichment_attempts": F.lit(0), "echo_count": F.lit(0), "modality": F.lit("text"), "sensitivity": F.lit("Public"), "category": F.lit("Fact")}), allowMissingColumns=True)
+
+    triple = lambda r: r.select("id", "parent_id", F.explode("triples").alias("t"), F.unix_timestamp("created_at").cast("double").alias("ts")).select("id", "parent_id", "t.subject", "t.predicate", "t.object", "ts")
+    news = written(triple(new), "news")
+    before = triple(fresh.where("parent_id is not null and triples is not null")) if "triples" in fresh.columns else news.limit(0)
+    texts = fresh.select("id", "content", "source", F.unix_timestamp("created_at").cast("double").alias("ts"))
+    by_value = superseded(news, before)
+    by_text = superseded_sentences(news, texts.join(queue.select("id"), "id", "left_anti"))
+    replaced = written(by_value.select("new_id", "old_id", "predicate", "new_value", "old_value", "new_ts").unionByName(by_text).distinct(), "replaced")
+    told["facts_superseded"] = replaced.count()
+    parent = news.select(F.col("id").alias("new_id"), F.col("parent_id").alias("newer")).distinct()
+    up = supersedes_edges(replaced).unionByName(supersedes_edges(replaced.join(parent, "new_id").select(F.col("newer").alias("new_id"), "old_id", "new_ts").where("new_id <> old_id")))
+    edges_out = expire_edges(kept, replaced).unionByName(up, allowMissingColumns=True)
+    whole = written(mark_superseded(whole, replaced), "memories")
+
+    due = written(clusters(whole, tables["summaries"]), "due")
+    told["labels_due"] = due.count()
+    out = {"memories": whole, "vectors": vecs.unionByName(vectors_made.where("v is not null").join(new.select("id"), "id", "left_semi"), allowMissingColumns=True), "edges": edges_out, "due": due}
+    return out, rows.sparkSession.createDataFrame([tuple(told[c] for c in COUNTERS)], ", ".join(f"{c} long" for c in COUNTERS))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import scoring as S
 from ..functions import text as X
+from ..sources.shared import written
+from .vectors import knn, novelty
 
 
 def stored(texts: DataFrame, now: Column, config: Config = DEFAULT) -> DataFrame:
@@ -34,10 +38,41 @@ def stored(texts: DataFrame, now: Column, config: Config = DEFAULT) -> DataFrame
     return rows.drop("_masked")
 
 
-def accepted(texts: DataFrame, existing: int, config: Config = DEFAULT) -> DataFrame:
-    """The texts that still have room below the capacity, by id."""
+def accepted(texts: DataFrame, existing: int, config: Config = DEFAULT, used_bytes: int = 0) -> DataFrame:
+    """The texts that still have room below the capacity, by id; none once the disk quota is used up.
+
+    Where there is room for all nothing is sorted.
+    """
     room = max(0, config.max_memories - existing)
-    return texts.orderBy("id").limit(room)
+    if config.max_bytes and used_bytes >= config.max_bytes:
+        return texts.limit(0)
+    return texts if texts.count() <= room else texts.orderBy("id").limit(room)
+
+
+def nearly_full(existing: int, config: Config = DEFAULT, used_bytes: int = 0) -> bool:
+    """Whether four fifths of the capacity or of the disk quota are used."""
+    return existing >= 0.8 * config.max_memories or bool(config.max_bytes) and used_bytes >= 0.8 * config.max_bytes
+
+
+def store_chain(texts: DataFrame, now: Column, existing: DataFrame, vectors: DataFrame, alias_rows: DataFrame, embed: Callable[[DataFrame], DataFrame], config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """The whole write chain: memories rows and their vectors(id, v) of texts(id, content, source).
+
+    Capacity, rules over the text, the vector of the rewritten or else the original text, novelty against the vectors there
+    are and earlier texts of the same call, entity by the longest known alias. embed gives id, v of rows(id, content).
+    """
+    taken = stored(accepted(texts, existing.count(), config), now, config)
+    made = written(embed(taken.select("id", embedding_text(F.col("masked_content"), F.col("reformulated"), F.col("content")).alias("content"))), "new-vectors")
+    seen = vectors_novelty(made, vectors)
+    whose = resolve(taken.select("id", F.coalesce("masked_content", "content").alias("content")), alias_rows).select("id", "entity_id")
+    rows = taken.join(seen.select("id", F.col("novelty").alias("novelty_score")), "id", "left").join(whose, "id", "left")
+    return rows.withColumn("novelty_score", F.coalesce("novelty_score", F.lit(1.0))), made
+
+
+def vectors_novelty(made: DataFrame, known: DataFrame) -> DataFrame:
+    """id, novelty of new rows: against all known vectors and new ones of smaller ids."""
+    own = novelty(made)
+    best = knn(known.select("id", "v"), made.select(F.col("id").alias("query_id"), "v"), 1, -1.0).select(F.col("query_id").alias("id"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("sim"))).alias("old"))
+    return own.join(best, "id", "left").select("id", F.least("novelty", F.coalesce("old", F.lit(1.0))).alias("novelty"))
 
 
 def embedding_text(masked: Column, reformulated: Column, content: Column) -> Column:

@@ -6,6 +6,7 @@ rows that the caller appends and folds later.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +16,7 @@ from ..config import DEFAULT, Config
 from ..functions import rules as R
 from ..functions import scoring as S
 from ..functions import text as X
-from ..operators import fusion, graph, memories, vectors
+from ..operators import fusion, graph, memories, vectors, views
 from ..sources.shared import written
 
 
@@ -77,16 +78,33 @@ def adjusted(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def candidates(store: Store, queries: DataFrame, config: Config, depth: int) -> DataFrame:
-    """query_id, id, sim of the best rows without a parent by similarity, of at least half the threshold."""
-    children = store.memories.where("parent_id is not null").select("id")
-    return vectors.knn(store.vectors.join(children, "id", "left_anti"), queries, depth, config.similarity_threshold / 2, keep_self=True).select("query_id", "id", "sim")
+    """query_id, id, sim of the best rows by similarity, of at least half the threshold; rows with a parent only where children
+    may answer themselves."""
+    rows = store.vectors
+    if config.rescue_only:
+        rows = rows.join(store.memories.where("parent_id is not null").select("id"), "id", "left_anti")
+    return vectors.knn(rows, queries, depth, config.similarity_threshold / 2, keep_self=True).select("query_id", "id", F.round("sim", 9).alias("sim"))
+
+
+def query_entities(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """query_id, name of the known names(name) that stand in a query: pairs of words, and words of two bytes or more. (A word of
+    a pair that is met counts as well.)"""
+    words = F.filter(F.split(F.lower(F.regexp_replace("text", r"[^\p{L}\p{N}\s]", " ")), r"\s+"), lambda w: w != "")
+    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+    told = queries.select("query_id", words.alias("w")).select("query_id", F.explode(F.array_distinct(F.concat(pairs, F.filter("w", lambda w: F.octet_length(w) >= 2)))).alias("name"))
+    return told.join(names.select("name").distinct(), "name", "left_semi")
+
+
+def entity_names(store: Store) -> DataFrame:
+    """id, name of the entities that rows are labelled with or state something of."""
+    tagged = store.memories.select("id", F.explode("labels").alias("l")).where(F.col("l").startswith("entity:")).select("id", F.substring_index("l", ":", -1).alias("name"))
+    return tagged.unionByName(views.triple_names(store.memories)).distinct() if "triples" in store.memories.columns else tagged
 
 
 def graph_candidates(store: Store, queries: DataFrame, ranked: DataFrame, config: Config) -> DataFrame:
     """Rows reached from memories that carry an entity of the query, above half the threshold and not ranked yet."""
-    words = queries.select("query_id", F.explode(X.fingerprints(F.regexp_replace("text", r"[^\p{L}\p{N}\s]", " "))).alias("e"))
-    tagged = store.memories.select("id", F.explode("labels").alias("l")).where(F.col("l").startswith("entity:")).select("id", F.substring_index("l", ":", -1).alias("e"))
-    anchors = words.join(tagged, "e").select("query_id", "id").distinct()
+    names = entity_names(store)
+    anchors = query_entities(queries, names).join(names, "name").select("query_id", "id").distinct()
     walked = graph.traverse(store.edges.select("src", "dst", "weight"), anchors.select("id"), config.graph_hops, config.graph_anchors)
     reached = anchors.withColumnRenamed("id", "anchor").join(walked, "anchor").select("query_id", "id").distinct().join(ranked.select("query_id", "id"), ["query_id", "id"], "left_anti")
     sim = S.cosine(F.col("v"), F.col("qv"))
@@ -94,9 +112,19 @@ def graph_candidates(store: Store, queries: DataFrame, ranked: DataFrame, config
     return scored.select("query_id", "id", F.round(sim, 9).alias("sim")).where(F.col("sim") > config.similarity_threshold / 2)
 
 
-def echo(store: Store, queries: DataFrame, now: Column, config: Config = DEFAULT, at_time: Column | None = None) -> Answer:
-    """results: query_id, id, rank, sim, score, content, source, labels. queries(query_id, text, v); now in epoch seconds."""
+def echo(
+    store: Store, queries: DataFrame, now: Column, config: Config = DEFAULT, at_time: Column | None = None, labels: list[str] | None = None,
+    rerank: Callable[[DataFrame], DataFrame] | None = None, summaries: DataFrame | None = None,
+) -> Answer:
+    """results: query_id, id, rank, sim, score, content, source, labels. queries(query_id, text, v); now in epoch seconds.
+
+    labels: only rows with one of them. rerank: from results(query_id, id, rank, query, content) the order(query_id, id, place)
+    of those that a reranker names. summaries(label, summary, v): the best one is added (with a null id) where results are weak.
+    """
     k = config.max_results
+    if labels:
+        store = Store(memories.with_labels(store.memories, labels), store.vectors, store.edges)
+        store = Store(store.memories, store.vectors.join(store.memories.select("id"), "id", "left_semi"), store.edges)
     # the few rows of queries and of their best results are written between steps: each step's plan stays small
     asked = written(memories.gate(queries, store.memories).withColumn("query_labels", X.query_labels(F.col("text"))), "asked")
     near = written(candidates(store, asked, config, 4 * k), "near")
@@ -105,8 +133,10 @@ def echo(store: Store, queries: DataFrame, now: Column, config: Config = DEFAULT
     pool = near.unionByName(walked).join(fused, ["query_id", "id"])
 
     rows = pool.join(store.memories, "id").join(asked.select("query_id", F.col("text").alias("query"), "query_labels"), "query_id")
-    over = F.col("sim") >= config.similarity_threshold
-    direct = rows.where(over & F.col("parent_id").isNull())
+    direct = F.col("parent_id").isNull()
+    if not config.rescue_only:
+        direct = direct | topic_matches(F.col("labels"), F.col("query_labels"), F.col("subject"), F.col("query"))
+    direct = rows.where((F.col("sim") >= config.similarity_threshold) & direct)
     rescued = _rescued(store, asked, config)
     seen = direct.select("query_id", "id").distinct()
     first = direct.unionByName(rescued.join(seen, ["query_id", "id"], "left_anti"), allowMissingColumns=True)
@@ -117,7 +147,8 @@ def echo(store: Store, queries: DataFrame, now: Column, config: Config = DEFAULT
     mine = learned.select("query_id", "src", "dst", F.col("strength").alias("weight"))
     boosts = graph.boost(top, edges.select("src", "dst", "weight", "kind"))
     fresh = mine.select("query_id", F.explode(F.array("src", "dst")).alias("id"), "weight").groupBy("query_id", "id").agg(F.sum("weight").alias("own"))
-    scored = top.join(boosts, ["query_id", "id"], "left").join(fresh, ["query_id", "id"], "left")
+    scored = top.join(boosts, ["query_id", "id"], "left").join(fresh, ["query_id", "id"], "left").join(superseded_parents(top, store, edges), "id", "left")
+    scored = scored.withColumn("superseded", F.coalesce("superseded", F.lit(0)) + F.coalesce("by_child", F.lit(0)))
     boost = F.least(F.coalesce("boost", F.lit(0.0)) + F.coalesce("own", F.lit(0.0)), F.lit(0.4))
     age = F.greatest(now - F.unix_timestamp("created_at"), F.lit(0)).cast("double")
     scored = scored.withColumn("since_echo", (now - F.unix_timestamp("last_echoed")).cast("double"))
@@ -126,14 +157,36 @@ def echo(store: Store, queries: DataFrame, now: Column, config: Config = DEFAULT
 
     topic = F.coalesce(F.get(F.filter("labels", lambda x: x.startswith("topic:")), F.lit(0)), F.lit("topic:unknown"))
     spread = scored.withColumns({"topic": topic, "subjects": F.when(F.col("subject").isNotNull(), F.array("subject"))})
-    kept = fusion.without_relatives(fusion.diverse(spread, config.diversity_cap, 2 * config.diversity_cap))
+    kept = fusion.diverse(spread, config.diversity_cap, 2 * config.diversity_cap)
+    if rerank:
+        kept = written(fusion.top_k(kept, k), "kept")
+        order = rerank(kept.select("query_id", "id", "rank", "query", "content"))
+        kept = fusion.reranked_first(kept, order).drop("rank")
+    kept = fusion.without_relatives(kept)
     newer = store.edges.where("kind = 'supersedes'").select(F.col("src").alias("newer"), F.col("dst").alias("older"))
-    ranked = fusion.top_k(fusion.without_superseded(kept, newer), k)
+    kept = fusion.without_superseded(kept, newer)
+    ranked = fusion.top_k(kept.withColumn("_at", -F.col("place")), k, "_at") if rerank else fusion.top_k(kept, k)
     results = ranked.select("query_id", "id", "rank", F.round("sim", 6).alias("sim"), F.round("score", 6).alias("score"), X.truncated(F.col("content"), 200).alias("content"), "source", "labels")
+    if summaries is not None:
+        results = _with_summaries(written(results, "results"), asked, summaries, k)
     events = learned.select("src", "dst", "strength", now.cast("double").alias("ts"))
     return Answer(results, events, top.select("id", now.alias("ts")))
 
 
+def superseded_parents(top: DataFrame, store: Store, edges: DataFrame) -> DataFrame:
+    """id, by_child (1) of results that have a child which another row supersedes."""
+    older = edges.where("kind = 'supersedes'").select(F.col("dst").alias("child")).distinct()
+    kids = store.memories.where("parent_id is not null").select(F.col("id").alias("child"), F.col("parent_id").alias("id"))
+    return kids.join(top.select("id").distinct(), "id", "left_semi").join(older, "child", "left_semi").select("id").distinct().withColumn("by_child", F.lit(1))
+
+
+def _with_summaries(results: DataFrame, asked: DataFrame, summaries: DataFrame, k: int) -> DataFrame:
+    """Results and, where they are weak, the best summary as a row without an id; the whole by score."""
+    found = fallback(results, asked, summaries).join(summaries.select("label", "summary"), "label")
+    added = found.select("query_id", F.lit(None).cast("bigint").alias("id"), F.round("sim", 6).alias("sim"), F.round("sim", 6).alias("score"), X.truncated(F.col("summary"), 200).alias("content"), F.lit("community").alias("source"), F.array("label").alias("labels"))
+    return fusion.top_k(results.drop("rank").unionByName(added), k).select(*results.columns)
+
+
 def _rescued(store: Store, asked: DataFrame, config: Config) -> DataFrame:
     """Enriched rows near the threshold whose best child on the query's topic, weighted by its confidence, reaches it; they
     take the child's weighted similarity. All rows of the store are asked, whatever their place."""

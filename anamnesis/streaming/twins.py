@@ -76,6 +76,18 @@ def breaker_state(failed, last_failure, now, failures: int = 5, cool_secs: float
     return F.when(failed < failures, "closed").when(now - last_failure >= cool_secs, "half-open").otherwise("open")
 
 
+def periodic(ticks: DataFrame, maintain: Callable[[int], None], checkpoint: str, every: str = "300 seconds", available_now: bool = False):
+    """Run maintain(batch number) for every micro-batch of a stream of ticks (a rate source, say), the first after one interval.
+    A batch that is run again after a failure has the same number."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        if batch.limit(1).count():
+            maintain(number)
+
+    writer = ticks.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
+
+
 def windowed(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts and sums of events(ts, event_type, value) by tumbling or sliding windows, late rows dropped after the watermark."""
     rows = events.withWatermark("ts", late) if events.isStreaming else events
