@@ -105,16 +105,17 @@ def temporal_phrase(text: Column) -> Column:
     return F.coalesce(*[F.nullif(F.lower(F.trim(F.regexp_extract(text, p, 0))), F.lit("")) for p in R.TEMPORAL_PHRASES])
 
 
-def reformulate(text: Column) -> Column:
-    """The text as a statement, or with its temporal phrase in front, or null."""
+def reformulate(text: Column, phrase: Column | None = None) -> Column:
+    """The text as a statement, or with its temporal phrase in front, or null. phrase: that of the trimmed text, if at hand."""
     t = F.trim(text)
     ruled = [F.when(F.rlike(t, F.lit(p)) & (F.regexp_replace(t, p, to) != t), F.regexp_replace(t, p, to)) for p, to in R.REFORMULATIONS]
-    phrase = temporal_phrase(t)
+    phrase = temporal_phrase(t) if phrase is None else phrase
     return F.when(t == "", F.lit(None).cast("string")).otherwise(F.coalesce(*ruled, F.when(phrase.isNotNull(), F.concat(F.lit("Temporal: "), phrase, F.lit(" — "), t))))
 
 
-def category(text: Column) -> Column:
-    lower = F.lower(text)
+def category(text: Column, lower: Column | None = None) -> Column:
+    """lower: the lower-cased text, where it is at hand as a column of its own."""
+    lower = F.lower(text) if lower is None else lower
     out = None
     for name, words in R.CATEGORIES:
         out = F.when(_any(lower, words), name) if out is None else out.when(_any(lower, words), name)
@@ -157,9 +158,9 @@ def entities(text: Column) -> Column:
     return F.array_distinct(F.transform(good, F.lower))
 
 
-def keyword_labels(text: Column) -> Column:
-    """Labels of a stored text, entities last."""
-    lower = F.lower(text)
+def keyword_labels(text: Column, lower: Column | None = None) -> Column:
+    """Labels of a stored text, entities last. lower: the lower-cased text, where it is at hand as a column of its own."""
+    lower = F.lower(text) if lower is None else lower
     found = []
     for label, words in R.TEXT_LABELS:
         hit = _any(lower, words)

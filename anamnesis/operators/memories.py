@@ -17,15 +17,17 @@ from .vectors import knn, novelty
 def stored(texts: DataFrame, now: Column, config: Config = DEFAULT) -> DataFrame:
     """Rows of the memories table from texts(id, content, source): masked, classified, rewritten, categorised, labelled.
     Further columns stay."""
-    # the masked text is a column of its own, not an expression repeated in each rule
+    # what many rules look at are columns of their own, not expressions repeated in each rule
     masked = F.col("_masked")
-    rows = texts.select(*texts.columns, X.pii_mask(F.col("content")).alias("_masked")).withColumns(
+    first = texts.select(*texts.columns, X.pii_mask(F.col("content")).alias("_masked"), F.lower("content").alias("_lower"))
+    second = first.withColumns({"_masked_lower": F.when(masked == F.col("content"), F.col("_lower")).otherwise(F.lower(masked)), "_phrase": X.temporal_phrase(F.trim(masked))})
+    rows = second.withColumns(
         {
             "masked_content": F.when(masked != F.col("content"), masked),
             "sensitivity": X.sensitivity(F.col("content")),
-            "reformulated": X.reformulate(masked),
-            "category": X.category(F.col("content")),
-            "labels": F.slice(X.keyword_labels(masked), 1, config.max_labels),
+            "reformulated": X.reformulate(masked, F.col("_phrase")),
+            "category": X.category(F.col("content"), F.col("_lower")),
+            "labels": F.slice(X.keyword_labels(masked, F.col("_masked_lower")), 1, config.max_labels),
             "modality": F.lit("text"),
             "created_at": now,
             "echo_count": F.lit(0),
@@ -35,7 +37,7 @@ def stored(texts: DataFrame, now: Column, config: Config = DEFAULT) -> DataFrame
             "label_version": F.lit(1),
         }
     )
-    return rows.drop("_masked")
+    return rows.drop("_masked", "_lower", "_masked_lower", "_phrase")
 
 
 def accepted(texts: DataFrame, existing: int, config: Config = DEFAULT, used_bytes: int = 0) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -21,3 +22,37 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def published(spark: SparkSession, text: str, path: str) -> bool:
+    """Write a small file that appears at once and in whole; False if there is one of that name already.
+
+    HDFS refuses to move a file onto another, and on a local disk a link does. Where a store does neither, one writer at a time
+    must be seen to from outside.
+    """
+    as_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = as_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    aside = f"{path.rsplit('/', 1)[0]}/_{uuid.uuid4().hex}"
+    out = fs.create(as_path(aside), False)
+    out.write(text.encode())
+    out.close()
+    try:
+        if fs.getUri().getScheme() != "file":
+            return fs.rename(as_path(aside), as_path(path))
+        try:
+            os.link(as_path(aside).toUri().getPath(), as_path(path).toUri().getPath())
+            return True
+        except FileExistsError:
+            return False
+    finally:
+        if fs.exists(as_path(aside)):
+            fs.delete(as_path(aside), False)
+
+
+def small_text(spark: SparkSession, path: str) -> str:
+    as_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = as_path.getFileSystem(spark._jsc.hadoopConfiguration()).open(as_path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()

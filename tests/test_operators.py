@@ -95,7 +95,14 @@ def test_snapshots(spark, tmp_path):
     v = spark.createDataFrame([(1, "text", [1.0, 2.0])], "id long, modality string, v array<float>")
     store.save({"vectors": v, "memories": spark.createDataFrame([(1, "hello")], "id long, content string")}, model="m")
     assert store.append("vectors", v.selectExpr("id + 1 as id", "modality", "v")) == 1
-    assert store.versions() == [0, 1] and store.load("vectors").count() == 2 and store.load("vectors", 0).count() == 1 and store.model() == ""
+    assert store.versions() == [0, 1] and store.load("vectors").count() == 2 and store.load("vectors", 0).count() == 1 and store.model() == "m"
+    # a writer that comes second builds on the first one's snapshot, and nothing is copied
+    other = snapshots.SnapshotStore(spark, f"file://{tmp_path}/s")
+    real, met = other.versions, []
+    other.versions = lambda: real() if met else (met.append(1), real()[:-1])[1]
+    assert other.append("vectors", v.selectExpr("id + 9 as id", "modality", "v")) == 2 and sorted(r.id for r in store.load("vectors").collect()) == [1, 2, 10]
+    assert len(list((tmp_path / "s" / "data").glob("memories-*"))) == 1
+    assert store.compact("vectors") == 3 and store.load("vectors").count() == 3 and store.load("vectors", 1).count() == 2
     row = store.load("memories").first()
     assert row.content == "hello" and row.confidence == 1.0 and row.echo_count == 0
     import pytest
@@ -149,3 +156,18 @@ def test_parents_are_rescued_beyond_the_nearest_rows(spark):
     got = {r.id: r.sim for r in E.echo(E.Store(full, rows.select("id", "v"), edges), asked, F.lit(1_706_659_200)).results.collect()}
     assert abs(got.pop(200) - 0.85) < 1e-6
     assert got and set(got) <= set(range(51, 60))
+
+
+def test_json_markdown_and_replayed_logs(spark, tmp_path):
+    import json
+
+    (tmp_path / "a.json").write_text(json.dumps([{"id": 1, "content": "hello", "labels": ["x"], "parent_id": None}, {"id": 2, "content": "é", "echo_count": 3}]))
+    rows = snapshots.read_json(spark, f"{tmp_path}/a.json")
+    got = {r.id: r for r in rows.collect()}
+    assert got[2].echo_count == 3 and got[1].echo_count == 0 and got[1].labels == ["x"] and got[2].confidence == 1.0
+    snapshots.write_json(rows, f"{tmp_path}/out")
+    assert {r.content for r in spark.read.json(f"{tmp_path}/out").collect()} == {"hello", "é"}
+    log = [{"topic": "t", "msg_type": "Pose", "payload": json.dumps({"x": 1, "y": 2.555, "z": -3, "frame": "map"})}, {"topic": "t", "msg_type": "String", "payload": json.dumps({"data": "hi"})}, {"topic": "t", "msg_type": "String", "payload": "bare"}, {"topic": "t", "msg_type": "Image", "label": "a cat"}, {"topic": "t", "msg_type": "Audio"}]
+    (tmp_path / "log.json").write_text(json.dumps(log))
+    told = [r.content for r in snapshots.read_replay(spark, f"{tmp_path}/log.json").collect()]
+    assert told[0].startswith("position: x=1.00 y=2.5") and told[0].endswith("z=-3.00 (frame: map)") and told[1:] == ["hi", "bare", "a cat", "[audio]"]
