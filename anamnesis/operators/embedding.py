@@ -10,6 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT, Config
+from ..functions import rules as R
+from ..functions import text as X
 from .vectors import knn
 
 
@@ -52,6 +55,28 @@ def prototype_labels(rows: DataFrame, prototypes: DataFrame, threshold: float =
     """
     named = prototypes.select(F.xxhash64("label").alias("id"), "label", "v")
     found = knn(named, rows.select(F.col("id").alias("query_id"), "v"), most, threshold, keep_self=True).join(named.select("id", "label"), "id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "label")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 9)), "label")
     placed = found.withColumn("n", F.row_number().over(order))
     return placed.groupBy(F.col("query_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "label"))), lambda x: x["label"]).alias("labels"))
+
+
+def prototypes(spark, embed: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """label, v of the known prototypes under an embedder."""
+    made = embed([words for _, words in R.PROTOTYPES])
+    return spark.createDataFrame([(label, v.tolist()) for (label, _), v in zip(R.PROTOTYPES, made, strict=True)], "label string, v array<float>")
+
+
+def first_tier(rows: DataFrame, protos: DataFrame, threshold: float = 0.55, config: Config = DEFAULT) -> DataFrame:
+    """id, labels of rows(id, content, v): similar prototypes, the most similar first, then labels by keywords."""
+    found = prototype_labels(rows.where("v is not null").select("id", "v"), protos, threshold, config.max_labels).select("id", F.col("labels").alias("_near"))
+    own = F.coalesce(X.keyword_labels(F.col("content")), F.array().cast("array<string>"))
+    both = F.array_distinct(F.concat(F.coalesce("_near", F.array().cast("array<string>")), own))
+    return rows.select("id", "content").join(found, "id", "left").select("id", F.slice(both, 1, config.max_labels).alias("labels"))
+
+
+def labels_of_queries(queries: DataFrame, protos: DataFrame, threshold: float = 0.50, config: Config = DEFAULT) -> DataFrame:
+    """query_id, labels of queries(query_id, text, v): by keywords, and only where they tell nothing by prototypes."""
+    told = queries.select("query_id", F.coalesce(X.query_labels(F.col("text")), F.array().cast("array<string>")).alias("_own"))
+    mute = queries.join(told.where(F.size("_own") == 0).select("query_id"), "query_id", "left_semi").where("v is not null")
+    found = prototype_labels(mute.select(F.col("query_id").alias("id"), "v"), protos, threshold, config.max_labels).select(F.col("id").alias("query_id"), F.col("labels").alias("_near"))
+    return told.join(found, "query_id", "left").select("query_id", F.when(F.size("_own") > 0, F.col("_own")).otherwise(F.coalesce("_near", F.col("_own"))).alias("labels"))

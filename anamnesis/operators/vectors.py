@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 #: Queries sent to every task at once.
 QUERY_BLOCK = 4096
 #: Vectors of one side of a block in an all-pairs join.
@@ -216,13 +218,17 @@ def lsh_candidates(index: DataFrame, queries: DataFrame, p: np.ndarray) -> DataF
 
 
 def candidates(index: DataFrame, rows: DataFrame, queries: DataFrame, p: np.ndarray, labelled: DataFrame | None = None, least: int = 5) -> DataFrame:
-    """LSH and label candidates; queries with fewer than `least` get every row, decided within the plan."""
+    """LSH and label candidates; the queries with fewer than `least` get every row, in blocks of queries."""
     found = lsh_candidates(index, queries, p)
     if labelled is not None:
         found = found.unionByName(labelled.select("query_id", "id")).distinct()
-    few = queries.select("query_id").join(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("c")), "query_id", "left").where(F.coalesce("c", F.lit(0)) < least).select("query_id")
-    every = rows.select(F.col("id").cast("long").alias("id")).join(few)
-    return found.unionByName(every.select("query_id", "id")).distinct()
+    found = written(found, "candidates")
+    few = written(queries.select("query_id").join(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("c")), "query_id", "left").where(F.coalesce("c", F.lit(0)) < least).select("query_id"), "few")
+    out, count = found, few.count()
+    for start in range(0, count, QUERY_BLOCK):
+        ids = [r.query_id for r in few.orderBy("query_id").offset(start).limit(QUERY_BLOCK).collect()]  # a block of queries' ids
+        out = out.unionByName(rows.select(F.explode(F.lit(ids).cast("array<bigint>")).alias("query_id"), F.col("id").cast("long").alias("id")))
+    return out.distinct() if count else out
 
 
 def mean_vector(rows: DataFrame, latest: int = 50) -> DataFrame:

@@ -129,7 +129,24 @@ def rank_fusion(spark, sf):
     return fusion.reciprocal_rank([near, same], DEFAULT.rrf_k).select("query_id", "id", F.round("rrf", 9).alias("rrf"))
 
 
-@query()
+def _lsh_sql(dim: int = 64) -> str:
+    """The same planes as values; signs give buckets, and sums of squared distances the order in which others are looked into."""
+    p = vectors.planes(dim, DEFAULT.lsh_tables, DEFAULT.lsh_bits)
+    rows = ", ".join(f"({t}, {b}, {p[t, b].tolist()}::DOUBLE[])" for t in range(p.shape[0]) for b in range(p.shape[1]))
+    masks, flipped = vectors._flips(DEFAULT.lsh_bits)
+    sets = ", ".join(f"({i}, {m}, {int(f.sum())}, {[k for k in range(len(f)) if f[k]]}::INT[])" for i, (m, f) in enumerate(zip(masks.tolist(), flipped, strict=True)))
+    return f"""
+WITH p AS (SELECT * FROM (VALUES {rows}) p(t, b, plane)), s AS (SELECT * FROM (VALUES {sets}) s(i, mask, n, bits)),
+u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings),
+f AS (SELECT vec_id, t, list(list_inner_product(v, plane) ORDER BY b) AS far FROM u, p GROUP BY vec_id, t),
+c AS (SELECT vec_id, t, far, list_sum(list_transform(range(0, {DEFAULT.lsh_bits}), lambda k: CASE WHEN far[k + 1] >= 0 THEN (1 << k) ELSE 0 END))::BIGINT AS code FROM f),
+q AS (SELECT vec_id AS query_id, t, xor(code, mask) AS code FROM c, s WHERE vec_id % 20 = 0
+  QUALIFY row_number() OVER (PARTITION BY vec_id, t ORDER BY CASE WHEN n <= 1 THEN -1 ELSE list_sum(list_transform(bits, lambda k: far[k + 1] * far[k + 1])) END, i) <= {vectors.PROBES}),
+m AS (SELECT DISTINCT query_id, vec_id AS id FROM q JOIN c USING (t, code)), w AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 20 = 0 AND vec_id NOT IN (SELECT query_id FROM m GROUP BY 1 HAVING count(*) >= {DEFAULT.min_candidates}))
+SELECT * FROM m UNION SELECT query_id, vec_id FROM w, embeddings"""
+
+
+@query(_lsh_sql())
 def lsh_candidates(spark, sf):
     """Hyperplane buckets, probed where a query is nearest to the planes; recall is tested against the exact scan."""
     rows = embedded(spark, sf)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as X
-from ..operators import consolidate, context, fusion, graph, memories, routing, vectors, views
+from ..operators import consolidate, context, embedding, fusion, graph, memories, routing, vectors, views
 from . import echo as E
 from .queries import _CAT, _CATEGORY, _PAR, _SENSE, COS, MODELS, NOW, _any_sql, _labels_sql, _masked_sql, _query_labels_sql, _typed, asked, embedded, query, quoted, rlist, seconds, table, tagged, typed_users
 
@@ -351,6 +351,21 @@ def fact_limits(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), X.max_facts(F.col("text")).alias("most"))
 
 
+@query(f"""
+WITH n AS (SELECT a.vec_id AS id, 'p' || b.vec_id AS label, {COS} AS sim FROM embeddings a, embeddings b WHERE b.vec_id < 10),
+g AS (SELECT id, list(label ORDER BY round(sim, 9) DESC, label) AS near FROM n WHERE round(sim, 9) >= 0.2 GROUP BY id),
+d AS (SELECT vec_id AS id, coalesce(near, []::VARCHAR[]) AS near, lower(text) AS l FROM embeddings LEFT JOIN g ON g.id = vec_id JOIN documents ON doc_id = vec_id),
+e AS (SELECT id, near, {_labels_sql()} AS own FROM d)
+SELECT id, array_to_string(list_concat(near, CASE WHEN own = '' THEN []::VARCHAR[] ELSE string_split(own, ',') END)[1:10], ',') AS labels FROM e""")
+def first_tier_labels(spark, sf):
+    """Labels of documents with a vector: the first ten vectors as prototypes, then keywords (entities left out)."""
+    vec = embedded(spark, sf)
+    rows = vec.select("id", "v").join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), "id")
+    protos = vec.where("id < 10").select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("label"), "v")
+    found = embedding.first_tier(rows, protos, 0.2)
+    return found.select("id", F.array_join(F.filter("labels", lambda x: ~x.startswith("entity:")), ",").alias("labels"))
+
+
 # ---------------------------------------------------------------- views of rows
 
 
