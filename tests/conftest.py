@@ -11,6 +11,7 @@ from oracle_check import session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     s = session("4")
+    s.conf.set("spark.sql.shuffle.partitions", "4")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
