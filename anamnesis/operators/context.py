@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import allowed_for_provider
 
 #: Shares of a context window in per cent.
 SHARES = {"system_prompt": 5, "echo_memories": 15, "rag_context": 20, "conversation": 35, "response_reserve": 25}
@@ -50,6 +51,17 @@ def greedy_fill(rows: DataFrame, budget: int, group: str, most: int) -> DataFram
     return head.join(kept, [group, "place"], "left_semi")
 
 
+def filtered_for_provider(results: DataFrame, rows: DataFrame, local: Column) -> DataFrame:
+    """results(id) that a provider may be sent, by the sensitivity of rows(id, sensitivity); rows that are not known are public."""
+    told = rows.select("id", F.col("sensitivity").alias("_s"))
+    return results.join(told, "id", "left").where(allowed_for_provider(F.col("_s"), local)).drop("_s")
+
+
+def priority(kind: Column) -> Column:
+    """In what order segments give way when a prompt is too long: 0 never."""
+    return F.when(kind.isin("system", "query"), 0).when(kind == "echo", 1).when(kind == "rag", 2).otherwise(3)
+
+
 def last_user_message(turns: DataFrame) -> DataFrame:
     """conv_id, text of each conversation's last user turn."""
     return turns.where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))

@@ -136,6 +136,11 @@ def tier2_labels(rows: DataFrame, found: DataFrame, config: Config = DEFAULT) ->
     return joined.withColumns({"labels": F.when(ready, both).otherwise(F.col("labels")), "label_version": F.when(ready, 2).otherwise(F.col("label_version"))}).drop("new_labels")
 
 
+def bloom_size(n: Column, rate: float = 0.01) -> Column:
+    """bloom_bytes() as an expression."""
+    return F.ceil(F.ceil(-n * F.ln(F.lit(rate)) / F.pow(F.ln(F.lit(2.0)), F.lit(2.0))) / 8).cast("long")
+
+
 def bloom_bytes(n: int, rate: float = 0.01) -> int:
     """Size of a Bloom filter for n items."""
     import math

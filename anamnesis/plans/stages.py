@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as X
-from ..operators import consolidate, context, embedding, fusion, graph, memories, routing, vectors, views
+from ..operators import consolidate, context, embedding, fusion, graph, memories, multimodal, routing, vectors, views
 from . import echo as E
 from .queries import _CAT, _CATEGORY, _PAR, _SENSE, COS, MODELS, NOW, _any_sql, _labels_sql, _masked_sql, _query_labels_sql, _typed, asked, embedded, query, quoted, rlist, seconds, table, tagged, typed_users
 
@@ -577,3 +577,73 @@ SELECT o_orderkey, format('{:,}', n) AS number, CASE WHEN n >= 1073741824 THEN p
 def formatted_numbers(spark, sf):
     n = F.floor("o_totalprice").cast("long") * F.col("o_orderkey")
     return table(spark, sf, "orders").select("o_orderkey", X.formatted_number(n).alias("number"), X.formatted_bytes(n).alias("size"))
+
+
+# ---------------------------------------------------------------- modes, budgets, filters
+
+_SEEN = f"""WITH q AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {COS} AS sim FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0),
+k AS (SELECT * FROM q WHERE round(sim, 9) >= 0.14 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, id) <= 10),
+v AS (SELECT query_id, id, sim, (sim + least(CASE WHEN id % 3 = 0 THEN 0.3::DOUBLE WHEN id % 3 = 1 THEN 0.5::DOUBLE ELSE 0 END, 0.4::DOUBLE) + 0.05::DOUBLE / (1 + (id % 30) / 1.0::DOUBLE)) * exp(-ln(2) * (id % 30) / CASE WHEN id % 2 = 0 THEN 30.0::DOUBLE ELSE 3.0::DOUBLE END) AS score FROM k)
+"""
+
+
+def seen_rows(spark, sf) -> DataFrame:
+    """Answers of image vectors: rows up to a month old, of two categories, some with a boost."""
+    vec, i = embedded(spark, sf), F.col("id")
+    rows = vec.select("id", F.when(i % 2 == 0, "Fact").otherwise("Conversation").alias("category"), F.timestamp_seconds(F.lit(NOW) - (i % 30) * 86400).alias("created_at"))
+    boosts = vec.where("id % 20 = 0").select(i.alias("query_id")).join(vec.where("id % 3 < 2").select("id", F.when(i % 3 == 0, 0.3).otherwise(0.5).alias("boost")))
+    return multimodal.vision_answers(rows, vec.select("id", "v"), asked(vec), F.lit(NOW), boosts=boosts)
+
+
+@query(_SEEN + "SELECT query_id, id, round(sim, 6) AS sim, round(score, 6) AS score FROM v")
+def vision_results(spark, sf):
+    return seen_rows(spark, sf).select("query_id", "id", F.round("sim", 6).alias("sim"), F.round("score", 6).alias("score"))
+
+
+@query(_SEEN + """, t AS (SELECT query_id, id, sim * 0.9::DOUBLE AS score FROM k WHERE id % 2 = 1), u AS (SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, score FROM v UNION ALL SELECT * FROM t) GROUP BY 1, 2)
+SELECT query_id, id, round(score, 6) AS score FROM u QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5""")
+def auto_results(spark, sf):
+    """Texts and images together: the better score of each row, the best five."""
+    images = seen_rows(spark, sf)
+    texts = images.where("id % 2 = 1").select("query_id", "id", (F.col("sim") * 0.9).alias("score"))
+    return multimodal.answers("auto", texts, images, 5).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"""
+WITH s AS (SELECT doc_id, {_SENSE} AS s FROM documents WHERE doc_id % 3 <> 0)
+SELECT l.doc_id AS id, l.doc_id % 2 = 0 AS here FROM labels l LEFT JOIN s USING (doc_id) WHERE coalesce(s, 'Public') = 'Public' OR (s = 'Private' AND l.doc_id % 2 = 0)""")
+def results_for_provider(spark, sf):
+    """Results that a provider may see; rows whose sensitivity is not known count as public."""
+    known = table(spark, sf, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), X.sensitivity(F.col("text")).alias("sensitivity"))
+    results = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 2 == 0).alias("here"))
+    return context.filtered_for_provider(results, known, F.col("here")).select("id", "here")
+
+
+@query("""
+WITH t AS (SELECT conv_id, 1000 + conv_id * 7 AS total FROM conversations GROUP BY 1)
+SELECT conv_id, greatest(total - total * 5 // 100 - total * 15 // 100 - total * 20 // 100 - total * 25 // 100, 0)::BIGINT AS budget FROM t""")
+def conversation_budgets(spark, sf):
+    t = table(spark, sf, "conversations").select("conv_id").distinct()
+    return t.select("conv_id", context.conversation_budget(1000 + F.col("conv_id") * 7).cast("long").alias("budget"))
+
+
+@query("""
+SELECT conv_id, turn, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 3 END AS priority FROM conversations""")
+def segment_priorities(spark, sf):
+    kind = F.when(F.col("role") == "system", "system").when(F.col("role") == "user", "echo").otherwise("conversation")
+    return table(spark, sf, "conversations").select("conv_id", "turn", context.priority(kind).alias("priority"))
+
+
+@query("SELECT source, ceil(ceil(-count(*) * ln(0.01) / ln(2) ** 2) / 8)::BIGINT AS n_bytes FROM documents GROUP BY 1")
+def bloom_sizes(spark, sf):
+    return table(spark, sf, "documents").groupBy("source").agg(memories.bloom_size(F.count(F.lit(1))).alias("n_bytes"))
+
+
+@query("""
+WITH n AS (SELECT event_type AS label, 'new' AS summary, count(*) AS member_count FROM events WHERE event_type <> 'view' GROUP BY 1), o AS (SELECT event_type AS label, 'old' AS summary, 1 AS member_count FROM events WHERE event_type <> 'click' GROUP BY 1)
+SELECT * FROM n UNION ALL SELECT * FROM o WHERE label NOT IN (SELECT label FROM n)""")
+def summary_upserts(spark, sf):
+    e = table(spark, sf, "events")
+    new = e.where("event_type <> 'view'").groupBy(F.col("event_type").alias("label")).agg(F.count(F.lit(1)).alias("member_count")).select("label", F.lit("new").alias("summary"), "member_count")
+    old = e.where("event_type <> 'click'").select(F.col("event_type").alias("label")).distinct().select("label", F.lit("old").alias("summary"), F.lit(1).cast("long").alias("member_count"))
+    return consolidate.upsert_summaries(old, new)

@@ -50,6 +50,26 @@ def limiter(requests: DataFrame, per_second: int) -> DataFrame:
     return counts.select("client", F.col("window.start").alias("second"), F.least("n", F.lit(per_second)).alias("n_allowed"), F.greatest(F.col("n") - per_second, F.lit(0)).alias("n_refused"))
 
 
+def decided(requests: DataFrame, per_second: int) -> DataFrame:
+    """client, ts, allowed of a stream of requests(client, ts in seconds): of each second the first so many, as they come."""
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        second, used = state.get if state.exists else (-1, 0)
+        for part in parts:
+            out = []
+            for ts in sorted(part["ts"]):
+                if int(ts) > second:
+                    second, used = int(ts), 0
+                # a request of a second that is over finds it full
+                allowed = int(ts) == second and used < per_second
+                used += allowed
+                out.append((key[0], ts, allowed))
+            yield pd.DataFrame(out, columns=["client", "ts", "allowed"])
+        state.update((second, used))
+
+    return requests.groupBy("client").applyInPandasWithState(run, "client string, ts double, allowed boolean", "second long, used long", "append", GroupStateTimeout.NoTimeout)
+
+
 def breaker(calls: DataFrame, failures: int = 5, cool_secs: float = 60.0) -> DataFrame:
     """provider, ts, before, state: what a breaker was when each call(provider, ts, ok) came, and what it is after it.
 

@@ -38,3 +38,11 @@ def test_breaker_states(spark):
     rows = spark.createDataFrame([(0, 0.0, 9.0), (5, 0.0, 10.0), (5, 0.0, 60.0)], "failed int, last double, now double")
     got = [r.s for r in rows.select(twins.breaker_state(F.col("failed"), F.col("last"), F.col("now")).alias("s")).collect()]
     assert got == ["closed", "open", "half-open"]
+
+
+def test_requests_beyond_the_rate_are_refused(spark, tmp_path):
+    rows = [("a", 1.1), ("a", 1.2), ("a", 1.9), ("a", 2.0), ("b", 1.5), ("a", 7.0)]
+    spark.createDataFrame(rows, "client string, ts double").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("client string, ts double").parquet(f"{tmp_path}/in")
+    twins.decided(stream, 2).writeStream.format("memory").queryName("decided_out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted((r.client, r.ts, r.allowed) for r in spark.table("decided_out").collect()) == [("a", 1.1, True), ("a", 1.2, True), ("a", 1.9, False), ("a", 2.0, True), ("a", 7.0, True), ("b", 1.5, True)]
