@@ -101,7 +101,12 @@ def content_for_provider(content: Column, masked: Column, sens: Column, local: C
 
 
 def temporal_phrase(text: Column) -> Column:
-    """The first phrase in the order of the patterns, in lower case."""
+    """The first phrase in the order of the patterns, in lower case. Texts without any are told by one look."""
+    some = F.rlike(text, F.lit("|".join(f"(?:{p})" for p in R.TEMPORAL_PHRASES)))
+    return F.when(some, _first_phrase(text))
+
+
+def _first_phrase(text: Column) -> Column:
     return F.coalesce(*[F.nullif(F.lower(F.trim(F.regexp_extract(text, p, 0))), F.lit("")) for p in R.TEMPORAL_PHRASES])
 
 
@@ -159,7 +164,7 @@ def entities(text: Column) -> Column:
 
 
 def keyword_labels(text: Column, lower: Column | None = None) -> Column:
-    """Labels of a stored text, entities last. lower: the lower-cased text, where it is at hand as a column of its own."""
+    """Labels of a stored text, entities last; an array. lower: the lower-cased text, where it is at hand as a column of its own."""
     lower = F.lower(text) if lower is None else lower
     found = []
     for label, words in R.TEXT_LABELS:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import half_life
+from ..sources.shared import written
 
 
 def fold(events: DataFrame, now: Column, half_life_secs: float = 604_800.0) -> DataFrame:
@@ -56,17 +57,24 @@ def neighbors(edges: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
 
 def traverse(edges: DataFrame, anchors: DataFrame, hops: int = 2, k: int = 20) -> DataFrame:
-    """anchor, id, hop, weight: nodes within some hops with the largest product of weights at their first hop; anchors weigh 1."""
+    """anchor, id, hop, weight: the k nodes within some hops with the largest product of weights at their first hop; anchors weigh 1.
+
+    Weights are not negative. A node is walked on from only where the heaviest edge could still lead to one of the k best.
+    """
     links = symmetric(edges).select("id", "other", "weight")
+    most = F.lit(edges.agg(F.max("weight")).first()[0] or 0.0)
     seen = anchors.select(F.col("id").alias("anchor"), F.col("id"), F.lit(0).alias("hop"), F.lit(1.0).alias("weight")).distinct()
-    front = seen
+    best = F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc("weight"), "id"))
     for hop in range(1, hops + 1):
+        front = seen.where(F.col("hop") == hop - 1)
+        if hop > 1:
+            least = seen.withColumn("rank", best).where(F.col("rank") == k).select("anchor", F.col("weight").alias("least"))
+            front = front.join(least, "anchor", "left").where(F.col("least").isNull() | (F.col("weight") * most >= F.col("least")))
         step = front.select("anchor", "id", F.col("weight").alias("w")).join(links, "id")
-        best = step.groupBy("anchor", F.col("other").alias("id")).agg(F.max(F.col("w") * F.col("weight")).alias("weight"))
-        front = best.join(seen.select("anchor", "id"), ["anchor", "id"], "left_anti").select("anchor", "id", F.lit(hop).alias("hop"), "weight")
-        seen = seen.unionByName(front)
-    rank = F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc("weight"), "id"))
-    return seen.withColumn("rank", rank).where(F.col("rank") <= k)
+        found = step.groupBy("anchor", F.col("other").alias("id")).agg(F.max(F.col("w") * F.col("weight")).alias("weight"))
+        new = found.join(seen.select("anchor", "id"), ["anchor", "id"], "left_anti").select("anchor", "id", F.lit(hop).alias("hop"), "weight")
+        seen = written(seen.unionByName(new), "walk")
+    return seen.withColumn("rank", best).where(F.col("rank") <= k)
 
 
 def subgraph(edges: DataFrame, ids: DataFrame, least: float = 0.0, with_neighbors: bool = False) -> DataFrame:
