@@ -17,8 +17,8 @@ range, so that a token's place needs no global statistics.
   component meet all others: pair by pair in small combinations, else in blocks of bounded size, where a
   matrix product counts common tokens.
 
-Candidates are verified on whole sets. Links become components by label propagation with pointer
-jumping over written tables. Groups stay bounded: a token leaves a task with at most RARE + 1 sets, a
+Candidates are verified on whole sets. Links become components by contraction over
+written tables. Groups stay bounded: a token leaves a task with at most RARE + 1 sets, a
 block has at most BLOCK sets, and each block emits only a spanning forest of its links.
 
 Defined cases: null and empty texts have an empty set, link with nothing and are their own component;
@@ -40,6 +40,8 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import SLICE_ROWS, discard, documents, saved, slices, temporary, unused
 
@@ -54,13 +56,15 @@ SHARE = 0.35
 #: Ids or tokens of which so many may be broadcast (8 bytes each); more go through a join or in slices.
 BROADCAST = 2_000_000
 #: Tokens of one merge task, and of one block of a scan.
-_PART_TOKENS, _SCAN_TOKENS = 4_000_000, 1_500_000
+_PART_TOKENS, _SCAN_TOKENS = 2_000_000, 1_000_000
+#: Tokens of one side of a block.
+_BLOCK_TOKENS = 300_000
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -124,11 +128,12 @@ def dealt(level: int, threshold: int) -> tuple[int, int]:
     return apart, apart + 1 + max(1, -(-apart // 8))
 
 
-def combinations(tokens: np.ndarray, rare: np.ndarray, threshold: int) -> np.ndarray:
-    """Hashes of the token combinations by which a set is indexed. Linked sets that share no rare token share one of them.
+def combinations(tokens: np.ndarray, rare: np.ndarray, threshold: int) -> list[tuple[int, int, np.ndarray]]:
+    """(class, need, hashes) of the token combinations by which a set is indexed, for its class and the one below.
 
-    Of a class's groups at most `apart` differ in linked sets. If all equal ones are empty in both, both have so many empty
-    groups that they are indexed by that.
+    Of a class's groups at most `apart` differ in linked sets; the others are equal, and of those no more are empty than the set
+    has empty groups. So linked sets that share no rare token share at least `need` combinations of a class. Where that would
+    be none, both sets have so many empty groups that they are indexed by that.
     """
     own, out = size_class(len(tokens), threshold), []
     for level in (own, own - 1):
@@ -142,10 +147,11 @@ def combinations(tokens: np.ndarray, rare: np.ndarray, threshold: int) -> np.nda
         heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         salt = np.uint64((level + 1) * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF)
         held = np.add.reduceat(_mixed(tokens), heads) + (group[heads] + np.uint64(1)) * _K + salt
-        out.append(_mixed(held[~np.isin(group[heads], place(rare))]))
-        if groups - len(heads) >= groups - apart:
-            out.append(_mixed(np.array([salt], np.uint64)))
-    return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
+        keys, need = _mixed(held[~np.isin(group[heads], place(rare))]), len(heads) - apart
+        if need <= 0:
+            keys, need = np.append(keys, _mixed(np.array([salt], np.uint64))), 1
+        out.append((level, need, keys.view(np.int64)))
+    return out
 
 
 # ---------------------------------------------------------------- scans
@@ -157,18 +163,19 @@ def _texts(batches: Iterator[pa.RecordBatch]):
             yield from zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True)
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n and digest (of the whole set) of every row."""
-    out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
+def _sets(docs: DataFrame, width: int, share: float) -> DataFrame:
+    """doc_id, n, digest (of the whole set) and prefix (the tokens indexed singly) of every row."""
+    out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("prefix", pa.binary())])
 
     def run(batches):
         for b in batches:
             for part in map(pa.RecordBatch.to_pydict, slices(b)):
                 sets = [shingles(t, width) for t in part["text"]]
-                cols = (part["doc_id"], [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets])
+                digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                cols = (part["doc_id"], [len(s) for s in sets], digests, [indexed(s, share).tobytes() for s in sets])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary")
+    return docs.mapInArrow(run, "doc_id long, n long, digest binary, prefix binary")
 
 
 def _squeeze(a: np.ndarray) -> bytes:
@@ -182,7 +189,7 @@ def _unsqueeze(data: bytes, kind) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
 
 
-def _postings(docs: DataFrame, parts: int, width: int, threshold: int, share: float, rare: int) -> DataFrame:
+def _postings(sets: DataFrame, parts: int, rare: int) -> DataFrame:
     """part, toks, ids: sorted tokens with the sets that hold them, a row per part and block of a scan.
 
     Of a token that more than `rare` sets of the block hold, rare + 1 sets are told: enough to know it for frequent.
@@ -204,19 +211,31 @@ def _postings(docs: DataFrame, parts: int, width: int, threshold: int, share: fl
 
     def run(batches):
         toks, ids, held = [], [], 0
-        for doc, text in _texts(batches):
-            mine = indexed(shingles(text, width), share)
-            if len(mine):
-                toks.append(mine)
-                ids.append(np.full(len(mine), doc, np.int64))
-                held += len(mine)
+        for part in (x for b in batches for x in slices(b, 4 * SLICE_ROWS)):
+            sizes = np.array([len(x) // 8 for x in part["prefix"].to_pylist()], np.int64)
+            if sizes.any():
+                toks.append(np.frombuffer(b"".join(part["prefix"].to_pylist()), np.uint64))
+                ids.append(np.repeat(part["doc_id"].to_numpy(zero_copy_only=False), sizes))
+                held += len(toks[-1])
             if held >= _SCAN_TOKENS:
                 yield block(toks, ids)
                 toks, ids, held = [], [], 0
         if held:
             yield block(toks, ids)
 
-    return docs.mapInArrow(run, "part long, toks binary, ids binary")
+    return sets.select("doc_id", "prefix").mapInArrow(run, "part long, toks binary, ids binary")
+
+
+def _in_order(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A part's distinct (token, set) pairs by token, and where each token begins and how many sets hold it."""
+    t = np.concatenate([_unsqueeze(x, np.uint64) for x in table["toks"].to_pylist()])
+    i = np.concatenate([_unsqueeze(x, np.int64) for x in table["ids"].to_pylist()])
+    order = np.lexsort((i, t))
+    t, i = t[order], i[order]
+    new = np.concatenate([[True], (t[1:] != t[:-1]) | (i[1:] != i[:-1])])
+    t, i = t[new], i[new]
+    first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+    return t, i, first, np.diff(first, append=len(t))
 
 
 def _merged(postings: DataFrame, rare: int) -> DataFrame:
@@ -224,14 +243,7 @@ def _merged(postings: DataFrame, rare: int) -> DataFrame:
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("frequent", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
-        t = np.concatenate([_unsqueeze(x, np.uint64) for x in table["toks"].to_pylist()])
-        i = np.concatenate([_unsqueeze(x, np.int64) for x in table["ids"].to_pylist()])
-        order = np.lexsort((i, t))
-        t, i = t[order], i[order]
-        new = np.concatenate([[True], (t[1:] != t[:-1]) | (i[1:] != i[:-1])])
-        t, i = t[new], i[new]
-        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        size = np.diff(first, append=len(t))
+        t, i, first, size = _in_order(table)
         pairs = [np.empty((0, 2), np.int64)]
         for c in range(2, rare + 1):
             at = first[size == c]
@@ -247,50 +259,58 @@ def _merged(postings: DataFrame, rare: int) -> DataFrame:
     return postings.groupBy("part").applyInArrow(run, "a long, b long, frequent binary")
 
 
-def _crowded(docs: DataFrame, frequent: np.ndarray, width: int, threshold: int, share: float, whole: bool) -> DataFrame:
-    """uid, toks (the set) and marks (those of its prefix that are among the frequent tokens) of sets with too few rare tokens.
+def _rare_counts(postings: DataFrame, rare: int) -> DataFrame:
+    """uid, c: how many rare tokens sets have, over all parts."""
+    out = pa.schema([("uid", pa.int64()), ("c", pa.int64())])
 
-    Where the frequent tokens are a part of them only, all sets that have some of these are told, too.
-    """
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
-    out = pa.schema([("uid", pa.int64()), ("toks", pa.binary()), ("marks", pa.binary())])
+    def run(table: pa.Table) -> pa.Table:
+        _, i, _, size = _in_order(table)
+        uid, c = np.unique(i[np.repeat(size <= rare, size)], return_counts=True)
+        return pa.Table.from_arrays([pa.array(uid, pa.int64()), pa.array(c, pa.int64())], schema=out)
+
+    return postings.groupBy("part").applyInArrow(run, "uid long, c long").groupBy("uid").agg(F.sum("c").alias("c"))
+
+
+def _crowded(sets: DataFrame, frequent: np.ndarray, threshold: int) -> DataFrame:
+    """uid, c and rare (number and list of rare tokens in the prefix) of sets that have too few of them."""
+    held = sets.sparkSession.sparkContext.broadcast(frequent)
+    out = pa.schema([("uid", pa.int64()), ("c", pa.int64()), ("rare", pa.binary())])
 
     def run(batches):
-        rows = []
-        for doc, text in _texts(batches):
-            toks = shingles(text, width)
-            mine = indexed(toks, share)
-            marks = mine[:0]
-            if len(held.value):
-                at = np.minimum(np.searchsorted(held.value, mine), len(held.value) - 1)
-                marks = mine[held.value[at] == mine]
-            if len(toks) and (len(mine) - len(marks) <= slack(len(toks), threshold) or (len(marks) and not whole)):
-                rows.append((doc, toks.tobytes(), marks.tobytes()))
-            if len(rows) >= SLICE_ROWS:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
-
-    return docs.mapInArrow(run, "uid long, toks binary, marks binary")
-
-
-def _combined(crowded: DataFrame, threshold: int, share: float) -> DataFrame:
-    """uid, class (of its size), toks, keys (hashes of combinations) and place (few rare tokens first) of sets that rare tokens do not settle."""
-    out = pa.schema([("uid", pa.int64()), ("class", pa.int64()), ("toks", pa.binary()), ("keys", pa.list_(pa.int64())), ("place", pa.int64())])
+        for part in (x for b in batches for x in slices(b)):
+            rows = []
+            for doc, n, prefix in zip(part["doc_id"].to_pylist(), part["n"].to_pylist(), part["prefix"].to_pylist(), strict=True):
+                mine = np.frombuffer(prefix, np.uint64)
+                if len(held.value) and len(mine):
+                    at = np.minimum(np.searchsorted(held.value, mine), len(held.value) - 1)
+                    mine = mine[held.value[at] != mine]
+                if len(mine) <= slack(n, threshold):
+                    rows.append((doc, len(mine), mine.tobytes()))
+            cols = zip(*rows, strict=True) if rows else [[]] * len(out)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
+
+    return sets.where("n > 0").select("doc_id", "n", "prefix").mapInArrow(run, "uid long, c long, rare binary")
+
+
+def _combined(docs: DataFrame, crowded: DataFrame, width: int, threshold: int) -> DataFrame:
+    """uid, class (of its size), toks, place (few rare tokens first) and, for each class it is indexed for, level, need and keys
+    (hashes of combinations) of crowded(uid, c, rare)."""
+    kind = "uid long, class long, toks binary, place long, sides array<struct<level: long, need: long, keys: array<long>>>"
+    out = to_arrow_schema(T._parse_datatype_string(kind))
+    texts = _only(docs, crowded.select(F.col("uid").alias("doc_id")), "left_semi", crowded.count())
+    given = texts.join(crowded, F.col("doc_id") == F.col("uid")).select("uid", "c", "rare", "text")
 
     def run(batches):
-        for b in batches:
-            for part, rows in ((x.to_pydict(), []) for x in slices(b)):
-                for uid, toks, marks in zip(part["uid"], part["toks"], part["marks"], strict=True):
-                    tokens = np.frombuffer(toks, np.uint64)
-                    rare = np.setdiff1d(indexed(tokens, share), np.frombuffer(marks, np.uint64), assume_unique=True)
-                    if len(rare) <= slack(len(tokens), threshold):
-                        rows.append((uid, size_class(len(tokens), threshold), toks, combinations(tokens, rare, threshold), (len(rare) << 40) + (hash(uid) * 0x9E3779B1 & 0xFFFFFFFFFF)))
-                cols = zip(*rows, strict=True) if rows else [[]] * len(out)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
+        for part, rows in ((x.to_pydict(), []) for b in batches for x in slices(b)):
+            for uid, c, rare, text in zip(part["uid"], part["c"], part["rare"], part["text"], strict=True):
+                toks = shingles(text, width)
+                if len(toks):
+                    sides = [{"level": k, "need": need, "keys": keys} for k, need, keys in combinations(toks, np.frombuffer(rare, np.uint64), threshold)]
+                    rows.append((uid, size_class(len(toks), threshold), toks.tobytes(), (c << 40) + (hash(uid) * 0x9E3779B1 & 0xFFFFFFFFFF), sides))
+            cols = zip(*rows, strict=True) if rows else [[]] * len(out)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
 
-    return crowded.mapInArrow(run, "uid long, class long, toks binary, keys array<long>, place long")
+    return given.mapInArrow(run, kind)
 
 
 # ---------------------------------------------------------------- links
@@ -381,11 +401,12 @@ def _open_links(members: DataFrame, mixed: DataFrame, crowded: DataFrame, thresh
     """
     told = saved(members.join(mixed, "key").select("uid", "top", (F.col("label") != F.col("main")).alias("out")).groupBy("uid", "top").agg(F.max("out").alias("out")), "open")
     region = components(saved(told.where("uid <> top").select(F.col("top").alias("a"), F.col("uid").alias("b")), "ties"))
-    sides = told.groupBy("uid").agg(F.max("out").alias("out")).join(region.select(F.col("id").alias("uid"), "component"), "uid").join(crowded.select("uid", "class"), "uid")
+    sides = told.groupBy("uid").agg(F.max("out").alias("out")).join(region.select(F.col("id").alias("uid"), "component"), "uid").join(crowded.select("uid", "class", (F.octet_length("toks") / 8).alias("n")), "uid")
     # linked sizes lie in one class or in two next to each other: a set goes to the group of its class and to the one below
-    sides = saved(sides.select("uid", "out", F.col("component").alias("region"), F.explode(F.array("class", F.col("class") - 1)).alias("g")), "sides")
-    half = block // 2
-    counted = sides.groupBy("region", "g").agg(F.ceil(F.count_if("out") / half).cast("int").alias("k_out"), F.ceil(F.count(F.lit(1)) / half).cast("int").alias("k_all")).where("k_out > 0")
+    sides = saved(sides.select("uid", "n", "out", F.col("component").alias("region"), F.explode(F.array("class", F.col("class") - 1)).alias("g")), "sides")
+    # a side of a block has a bounded number of sets and of tokens
+    need = lambda n, size: F.ceil(F.greatest(n / F.lit(block / 2), size / F.lit(_BLOCK_TOKENS))).cast("int")
+    counted = sides.groupBy("region", "g").agg(need(F.count_if("out"), F.sum(F.when(F.col("out"), F.col("n")))).alias("k_out"), need(F.count(F.lit(1)), F.sum("n")).alias("k_all")).where("k_out > 0")
     cells = sides.join(saved(counted, "counted"), ["region", "g"])
     deal = lambda k: F.pmod(F.xxhash64("uid"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
@@ -406,19 +427,23 @@ def _open_links(members: DataFrame, mixed: DataFrame, crowded: DataFrame, thresh
 
 def _crowd_links(crowded: DataFrame, threshold: int, block: int, few: int) -> DataFrame:
     """a, b: links that join all linked sets that share a combination, directly or by way of others."""
-    flat = crowded.select("uid", "place", F.explode("keys").alias("key"))
+    each = lambda df, *cols: df.select(*cols, F.explode("sides").alias("s")).select(*cols, "s.level", "s.need", F.explode("s.keys").alias("key"))
+    flat = each(crowded, "uid", "place")
     tops = saved(flat.groupBy("key").agg(F.min_by("uid", "place").alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1"), "tops")
-    stars = saved(flat.join(tops, "key").where("uid <> top").select(F.col("top").alias("a"), F.col("uid").alias("b")).distinct(), "stars")
+    stars = saved(flat.join(tops.where(F.col("c") > few), "key").where("uid <> top").select(F.col("top").alias("a"), F.col("uid").alias("b")).distinct(), "stars")
     links = saved(_verified(stars, crowded, threshold), "star-links")
     label = components(links).select(F.col("id").alias("uid"), "component")
-    labelled = saved(crowded.join(label, "uid", "left").select("uid", "keys", F.coalesce("component", "uid").alias("label")), "labelled")
-    members = labelled.select("uid", "label", F.explode("keys").alias("key"))
+    labelled = saved(crowded.join(label, "uid", "left").select("uid", "sides", F.coalesce("component", "uid").alias("label")), "labelled")
+    members = each(labelled, "uid", "label")
     main = labelled.select(F.col("uid").alias("top"), F.col("label").alias("main"))
     spread = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
     mixed = saved(tops.join(spread, "key").join(main, "top"), "mixed")
     small = members.join(mixed.where(F.col("c") <= few).select("key"), "key")
-    pairs = small.select("key", F.col("uid").alias("a"), F.col("label").alias("la")).join(small.select("key", F.col("uid").alias("b"), F.col("label").alias("lb")), "key")
-    links = links.unionAll(_verified(saved(pairs.where("a < b and la <> lb").select("a", "b").distinct(), "few"), crowded, threshold))
+    side = lambda x: small.select("key", "level", F.col("uid").alias(x), F.col("label").alias(f"l{x}"), F.col("need").alias(f"n{x}"))
+    pairs = side("a").join(side("b"), ["key", "level"]).where("a < b and la <> lb")
+    # linked sets of different components share enough combinations of few sets, or one of more, which the blocks below see to
+    pairs = pairs.groupBy("a", "b", "level").agg(F.count(F.lit(1)).alias("c"), F.max(F.greatest("na", "nb")).alias("need")).where(F.col("c") >= F.col("need")).select("a", "b").distinct()
+    links = links.unionAll(_verified(saved(pairs, "few"), crowded, threshold))
     large = mixed.where(F.col("c") > few)
     if large.limit(1).count():
         links = links.unionAll(_open_links(members, large.select("key", "top", "main"), crowded, threshold, block))
@@ -426,28 +451,36 @@ def _crowd_links(crowded: DataFrame, threshold: int, block: int, few: int) -> Da
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id, component (smallest id reachable) of every id in links(a, b), which must be a written table. A written table."""
-    both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    edges = saved(both, "edges")
-    label = saved(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "labels")
-    while True:
-        near = edges.join(label.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        low = label.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("low"))
-        jump = label.select(F.col("id").alias("low"), F.col("component").alias("lower"))
-        nxt = saved(low.join(jump, "low").select("id", F.least("low", "lower").alias("component"), "old"), "labels")
-        done = nxt.where("component <> old").limit(1).count() == 0
-        discard(label)
-        if done:
-            discard(edges)
-            return nxt
-        label = nxt
+    """id, component (smallest id reachable) of every id in links(a, b), which must be a written table. A written table.
+
+    Every node goes to its smallest neighbour, if that is smaller, and on to wherever that one goes; then the links are those
+    between what the nodes have become. At least half of the nodes of every round are gone in the next.
+    """
+    edges = saved(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    rounds: list[DataFrame] = []
+    while not rounds or edges.limit(1).count():
+        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("up")), "up")
+        to = lambda up, further: first.select(F.col("id").alias(up), F.col("up").alias(further))  # noqa: B023, E731
+        rounds.append(saved(first.join(to("up", "far"), "up").join(to("far", "top"), "far").select("id", F.col("top").alias("up")), "jumped"))
+        became = lambda x: rounds[-1].select(F.col("id").alias(x), F.col("up").alias(f"{x}_up"))
+        left = edges.join(became("a"), "a").join(became("b"), "b").where("a_up <> b_up").select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct()
+        left, old = saved(left, "edges"), edges
+        discard(first, old)
+        edges = left
+    out = rounds[0]
+    for further in rounds[1:]:
+        out = out.join(further.select(F.col("id").alias("up"), F.col("up").alias("next")), "up", "left").select("id", F.coalesce("next", "up").alias("up"))
+    out = saved(out.select("id", F.col("up").alias("component")), "components")
+    discard(edges, *rounds)
+    return out
 
 
 def join(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, rare: int = RARE, block: int = BLOCK, share: float = SHARE, few: int = FEW) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with temporary() as keep:
-        sets = saved(_sets(docs, width), "sets")
+        sets = saved(_sets(docs, width, share), "sets")
         # joins on keys that copies make hot: the other side is a written table, so that Spark can split the hot side
         first = saved(sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("uid"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("digest").alias("_d"), "uid"), "first")
         worded = sets.where("n > 0").join(first, F.col("digest") == F.col("_d"), "left").select("doc_id", "n", F.coalesce("uid", "doc_id").alias("node"))
@@ -455,11 +488,12 @@ def join(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, rare:
         own = F.max((F.col("doc_id") == F.col("node")).cast("int")).alias("own")
         ids = saved(rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("node").alias("one"), F.max("node").alias("other"), own), "by-id")
         copies = ids.where("own = 0").select("doc_id")
-        indexed_docs = _only(docs.where("doc_id is not null"), copies, "left_anti", copies.count())
+        own_sets = _only(sets.where("doc_id is not null").select("doc_id", "n", "prefix"), copies, "left_anti", copies.count())
 
         total = rows.agg(F.sum("n")).first()[0] or 0
         parts = max(1, -(-int(total * share) // _PART_TOKENS))
-        merged = saved(_merged(_postings(indexed_docs, parts, width, threshold, share, rare), rare), "merged")
+        postings = _postings(own_sets, parts, rare)
+        merged = saved(_merged(postings, rare), "merged")
         near = merged.where("a is not null").select("a", "b").distinct()
         near = near.join(ids.selectExpr("doc_id as a", "low as la", "high as ha"), "a").join(ids.selectExpr("doc_id as b", "low as lb", "high as hb"), "b")
         near = near.where(f"100 * hb >= {threshold} * la and 100 * ha >= {threshold} * lb").select("a", "b")
@@ -467,8 +501,14 @@ def join(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, rare:
 
         lists = merged.where("frequent is not null and octet_length(frequent) > 0").select("frequent")
         n_frequent = lists.agg(F.sum(F.octet_length("frequent") / 8)).first()[0] or 0
-        crowded = saved(_combined(_all_crowded(indexed_docs, lists, n_frequent, width, threshold, share), threshold, share), "crowded")
-        links = links.unionAll(_crowd_links(crowded, threshold, block, few))
+        if n_frequent <= BROADCAST:
+            tokens = np.sort(np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(r.frequent, np.uint64) for r in lists.collect()]]))
+            crowded = _crowded(own_sets, tokens, threshold)
+        else:  # rare tokens are counted by set instead; no combination is left out for having one
+            counts = own_sets.where("n > 0").select(F.col("doc_id").alias("uid"), "n").join(_rare_counts(postings, rare), "uid", "left").select("uid", "n", F.coalesce("c", F.lit(0)).alias("c"))
+            crowded = counts.where(F.col("c") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") / 100)).select("uid", F.col("c").cast("long").alias("c"), F.lit(b"").alias("rare"))
+        crowds = saved(_combined(docs, saved(crowded, "crowded"), width, threshold), "crowds")
+        links = links.unionAll(_crowd_links(crowds, threshold, block, few))
         tied = ids.where("one < other").select("doc_id", "one")
         if tied.limit(1).count():  # ids on rows with different texts
             links = links.unionAll(rows.join(tied, "doc_id").where("node <> one").select(F.col("one").alias("a"), F.col("node").alias("b")).distinct())
@@ -479,32 +519,6 @@ def join(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, rare:
     return placed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
 
 
-def _all_crowded(docs: DataFrame, lists: DataFrame, n: float, width: int, threshold: int, share: float) -> DataFrame:
-    if n <= BROADCAST:
-        tokens = np.sort(np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(r.frequent, np.uint64) for r in lists.collect()]]))  # at most BROADCAST
-        return _crowded(docs, tokens, width, threshold, share, whole=True)
-    # too many to send at once: in slices by token, each a pass, and the marks of a set put together
-    slices = int(n // (BROADCAST // 2)) + 1
-    out = pa.schema([("slice", pa.int64()), ("frequent", pa.binary())])
-
-    def cut(batches):
-        for b in batches:
-            for data in b.column(0).to_pylist():
-                t = np.frombuffer(data, np.uint64)
-                at = (t >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)
-                keys = np.unique(at)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array([t[at == k].tobytes() for k in keys], pa.binary())], schema=out)
-
-    by_slice = saved(lists.mapInArrow(cut, "slice long, frequent binary"), "frequent")
-    scans = None
-    for k in range(slices):
-        rows = by_slice.where(F.col("slice") == k).collect()
-        if rows:
-            part = _crowded(docs, np.sort(np.concatenate([np.frombuffer(r.frequent, np.uint64) for r in rows])), width, threshold, share, whole=False)
-            scans = part if scans is None else scans.unionAll(part)
-    return saved(scans, "marks").groupBy("uid", "toks").agg(F.array_join(F.transform(F.collect_list("marks"), F.hex), "").alias("marks")).select("uid", "toks", F.unhex("marks").alias("marks"))
-
-
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """One row of each group of near duplicates, all columns as they were: that with the smallest id (a null one only where
     no row of the group has an id), of rows with that id and different texts that with the smallest hash.
