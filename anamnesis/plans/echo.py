@@ -17,17 +17,19 @@ from ..functions import rules as R
 from ..functions import scoring as S
 from ..functions import text as X
 from ..operators import fusion, graph, memories, vectors, views
+from ..operators.coactivation import Activity
 from ..sources.shared import written
 
 
 @dataclass(frozen=True)
 class Store:
     """memories(id, content, source, labels, category, importance, created_at, last_echoed, echo_count, enriched, confidence,
-    parent_id, subject, superseded_at), vectors(id, v), edges(src, dst, weight, kind, valid_from, valid_until)."""
+    parent_id, subject, superseded_at), vectors(id, v), edges(src, dst, weight, kind, valid_from, valid_until) or the events
+    that all edges come from, which are then made where they are met: walks and edges among results."""
 
     memories: DataFrame
     vectors: DataFrame
-    edges: DataFrame
+    edges: DataFrame | Activity
 
 
 @dataclass(frozen=True)
@@ -111,7 +113,10 @@ def graph_candidates(store: Store, queries: DataFrame, ranked: DataFrame, config
     """Rows reached from memories that carry an entity of the query, above half the threshold and not ranked yet."""
     names = entity_names(store)
     anchors = query_entities(queries, names).join(names, "name").select("query_id", "id").distinct()
-    walked = graph.traverse(store.edges.select("src", "dst", "weight"), anchors.select("id"), config.graph_hops, config.graph_anchors)
+    if isinstance(store.edges, Activity):
+        walked = store.edges.walk(written(anchors.select("id").distinct(), "anchors"), config.graph_hops, config.graph_anchors)
+    else:
+        walked = graph.traverse(store.edges.select("src", "dst", "weight"), anchors.select("id"), config.graph_hops, config.graph_anchors)
     reached = anchors.withColumnRenamed("id", "anchor").join(walked, "anchor").select("query_id", "id").distinct().join(ranked.select("query_id", "id"), ["query_id", "id"], "left_anti")
     sim = S.cosine(F.col("v"), F.col("qv"))
     scored = reached.join(store.vectors.select("id", "v"), "id").join(queries.select("query_id", F.col("v").alias("qv")), "query_id")
@@ -149,7 +154,11 @@ def echo(
     top = written(fusion.top_k(first, k, "sim").drop("rank"), "top")
 
     learned = _pairs(top)
-    edges = store.edges if at_time is None else graph.valid_at(store.edges, at_time)
+    known = store.edges
+    if isinstance(known, Activity):
+        among = known.among(top).select("src", "dst", "weight", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("double").alias("valid_from"), F.lit(None).cast("double").alias("valid_until"))
+        known = written(among, "among")
+    edges = known if at_time is None else graph.valid_at(known, at_time)
     mine = learned.select("query_id", "src", "dst", F.col("strength").alias("weight"))
     boosts = graph.boost(top, edges.select("src", "dst", "weight", "kind"))
     fresh = mine.select("query_id", F.explode(F.array("src", "dst")).alias("id"), "weight").groupBy("query_id", "id").agg(F.sum("weight").alias("own"))
@@ -169,7 +178,7 @@ def echo(
         order = rerank(kept.select("query_id", "id", "rank", "query", "content"))
         kept = fusion.reranked_first(kept, order).drop("rank")
     kept = fusion.without_relatives(kept)
-    newer = store.edges.where("kind = 'supersedes'").select(F.col("src").alias("newer"), F.col("dst").alias("older"))
+    newer = known.where("kind = 'supersedes'").select(F.col("src").alias("newer"), F.col("dst").alias("older"))
     kept = fusion.without_superseded(kept, newer)
     ranked = fusion.top_k(kept.withColumn("_at", -F.col("place")), k, "_at") if rerank else fusion.top_k(kept, k)
     results = ranked.select("query_id", "id", "rank", F.round("sim", 6).alias("sim"), F.round("score", 6).alias("score"), X.truncated(F.col("content"), 200).alias("content"), "source", "labels")
