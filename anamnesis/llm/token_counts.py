@@ -52,7 +52,7 @@ def bpe_counts(docs: DataFrame, tokenizers: dict[str, str]) -> DataFrame:
             for part in slices(b, ENCODED):
                 texts = part["text"].to_pylist()
                 for version, path in tokenizers.items():
-                    n = pa.array([len(x) for x in encoder(path, None).encode(texts)], pa.int64())
+                    n = pa.array(encoder(path, None).count(texts), pa.int64())
                     yield pa.RecordBatch.from_arrays([part["doc_id"], part["source"], part["lang"], pa.array([version] * len(texts)), n], schema=out)
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), "text")

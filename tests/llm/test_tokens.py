@@ -92,3 +92,31 @@ def test_whole_documents_and_a_small_memory(monkeypatch):
     monkeypatch.setattr(tokens, "_CHARS_AT_ONCE", 20_000)
     for name in FILES:
         assert [x.tolist() for x in Encoder(tokenizer_file(name), 1).encode(texts)] == [direct(name, t) for t in texts]
+
+
+@pytest.mark.parametrize("end", [None, 1])
+def test_counts_are_those_of_the_ids(end, monkeypatch):
+    import duckdb
+
+    from anamnesis.llm import tokens
+
+    texts = [None, "", "a  b\n\n\nc", "x\x1fy", *[r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()]]
+    monkeypatch.setattr(tokens, "CACHE_CHUNKS", 3000)
+    monkeypatch.setattr(tokens, "_CHARS_AT_ONCE", 20_000)
+    for name in FILES:
+        e = Encoder(tokenizer_file(name), end)
+        assert e.count(texts) == [len(direct(name, t)) - (end is None) for t in texts]
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_chunks_that_are_met_again_are_not_forgotten(name, monkeypatch):
+    from anamnesis.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_CHUNKS", 30)
+    e, learned = Encoder(tokenizer_file(name), None), []
+    learn = e._learn
+    monkeypatch.setattr(e, "_learn", lambda chunks: learned.extend(chunks) or learn(chunks))
+    for i in range(8):
+        text = "the same words " + " ".join(f"new{chr(97 + i)}{chr(97 + j)}x" for j in range(9))
+        assert e.encode([text])[0].tolist() == direct(name, text)[:-1]
+    assert learned.count("same") == 1
