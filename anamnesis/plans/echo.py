@@ -21,6 +21,10 @@ from ..operators.coactivation import Activity
 from ..sources.shared import written
 
 
+#: What the ranked query reads of a memory (and triples, where there are some).
+COLUMNS = ("id", "content", "source", "labels", "category", "importance", "created_at", "last_echoed", "echo_count", "enriched", "confidence", "parent_id", "subject", "superseded_at")
+
+
 @dataclass(frozen=True)
 class Store:
     """memories(id, content, source, labels, category, importance, created_at, last_echoed, echo_count, enriched, confidence,
@@ -94,6 +98,20 @@ def candidates(store: Store, queries: DataFrame, config: Config, depth: int) ->
     return vectors.knn(rows, queries, depth, config.similarity_threshold / 2, keep_self=True).select("query_id", "id", F.round("sim", 9).alias("sim"))
 
 
+def with_room(store: Store, asked: DataFrame, near: DataFrame, config: Config) -> DataFrame:
+    """The queries that a row from the graph may answer.
+
+    The k best by similarity go on, and what the walk adds to the nearest rows is no nearer than any of them: where k of these
+    are memories and reach the threshold, all that a walk finds would be left out again. Where rows with a parent may answer
+    themselves, the nearest can still fall out by their topic, so all queries walk.
+    """
+    if not config.rescue_only:
+        return asked
+    good = near.where(F.col("sim") >= config.similarity_threshold).join(store.memories.select("id").distinct(), "id", "left_semi")
+    full = good.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= config.max_results)
+    return asked.join(full.select("query_id"), "query_id", "left_anti")
+
+
 def query_entities(queries: DataFrame, names: DataFrame) -> DataFrame:
     """query_id, name of the known names(name) that stand in a query: pairs of words, and words of two bytes or more. (A word of
     a pair that is met counts as well.)"""
@@ -139,7 +157,7 @@ def echo(
     # the few rows of queries and of their best results are written between steps: each step's plan stays small
     asked = written(memories.gate(queries, store.memories).withColumn("query_labels", X.query_labels(F.col("text"))), "asked")
     near = written(candidates(store, asked, config, 4 * k), "near")
-    walked = written(graph_candidates(store, asked, near, config), "walked")
+    walked = written(graph_candidates(store, written(with_room(store, asked, near, config), "with-room"), near, config), "walked")
     fused = fusion.reciprocal_rank([near, walked], config.rrf_k)
     pool = near.unionByName(walked).join(fused, ["query_id", "id"])
 
