@@ -21,6 +21,8 @@ from ..operators.coactivation import Activity
 from ..sources.shared import written
 
 
+#: Pairs of results that may be broadcast.
+MET = 500_000
 #: What the ranked query reads of a memory (and triples, where there are some).
 COLUMNS = ("id", "content", "source", "labels", "category", "importance", "created_at", "last_echoed", "echo_count", "enriched", "confidence", "parent_id", "subject", "superseded_at")
 
@@ -175,7 +177,8 @@ def echo(
     known = store.edges
     if isinstance(known, Activity):
         among = known.among(top).select("src", "dst", "weight", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("double").alias("valid_from"), F.lit(None).cast("double").alias("valid_until"))
-        known = written(among, "among")
+        met = written(learned.select("src", "dst").distinct(), "met")  # edges are many more than the pairs of a query's results
+        known = written(among.join(F.broadcast(met) if met.count() <= MET else met, ["src", "dst"], "left_semi"), "among")
     edges = known if at_time is None else graph.valid_at(known, at_time)
     mine = learned.select("query_id", "src", "dst", F.col("strength").alias("weight"))
     boosts = graph.boost(top, edges.select("src", "dst", "weight", "kind"))

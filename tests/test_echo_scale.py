@@ -62,3 +62,17 @@ def test_rows_of_a_small_file_are_spread(spark):
     rows = queries.store(spark, SF).memories
     assert rows.columns == list(E.COLUMNS) and rows.select(F.input_file_name().alias("f")).distinct().count() > 1
     assert isinstance(queries.store(spark, SF).edges, Activity) and DEFAULT.rescue_only
+
+
+@pytest.mark.parametrize("bound", [500_000, 0])
+def test_only_edges_between_results_of_one_query_are_kept(spark, monkeypatch, bound):
+    monkeypatch.setattr(E, "MET", bound)
+    kept, write = {}, E.written
+    monkeypatch.setattr(E, "written", lambda df, what: kept.setdefault(what, write(df, what)))
+    store = queries.store(spark, SF)
+    asked = store.vectors.where("id % 40 = 0").join(store.memories, "id").select(F.col("id").alias("query_id"), F.col("content").alias("text"), "v")
+    assert E.echo(store, asked, F.lit(queries.NOW)).results.count()
+    pairs = {(r.src, r.dst) for r in E._pairs(kept["top"]).collect()}
+    met = {(r.src, r.dst): r.weight for r in kept["among"].collect()}
+    every = {(r.src, r.dst): r.weight for r in store.edges.among(kept["top"]).collect()}
+    assert met == pytest.approx({k: w for k, w in every.items() if k in pairs}) and 0 < len(met) < len(every)
